@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeloom.llm import jaccard
+from codeloom.llm import jaccard, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -21,6 +21,11 @@ def _query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return f
 
 
+@_query
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 @_query
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_pairs(_table(spark, sf_dir, "documents"))
@@ -42,3 +47,12 @@ near AS (
   FROM own a JOIN own b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2)
 SELECT doc_a, doc_b, CAST(jaccard AS DOUBLE) AS jaccard FROM near WHERE jaccard >= 0.5
 UNION ALL SELECT rep, doc_id, CAST(1.0 AS DOUBLE) FROM reps WHERE rep <> doc_id"""
+
+ORACLES["op1_substring_dedup"] = f"""
+WITH d AS (SELECT doc_id, {WORDS.format("text")} AS w FROM documents WHERE doc_id IS NOT NULL),
+starts AS (SELECT doc_id, w, unnest(range(0, len(w) - 49)) AS i FROM d WHERE len(w) >= 50),
+windows AS (SELECT doc_id, i, md5(array_to_string(list_slice(w, i + 1, i + 50), ' ')) AS h FROM starts),
+counted AS (SELECT doc_id, i, count(*) OVER (PARTITION BY h) AS c FROM windows),
+islands AS (SELECT doc_id, i, c, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS island FROM counted WHERE c > 1)
+SELECT doc_id, CAST(min(i) AS INTEGER) AS start_word, CAST(max(i) + 50 AS INTEGER) AS end_word, max(c) AS copies
+FROM islands GROUP BY doc_id, island"""
