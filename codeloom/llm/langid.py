@@ -22,7 +22,7 @@ from codeloom.llm import kernels as K
 
 #: Grams in a ranking; labelled rows of each language that a profile is fitted on; the normalised
 #: distance, 0 to 1, beyond which no language is accepted.
-TOP, SAMPLE_ROWS, MAX_DISTANCE = 300, 400, 0.95
+TOP, SAMPLE_ROWS, MAX_DISTANCE = 300, 400, 0.7
 _letters: list[np.ndarray] = []
 
 

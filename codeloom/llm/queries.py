@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeloom.llm import hosts, jaccard, langid, packing, quality, secret_scan, shards, substrings
+from codeloom.llm import bpe, hosts, jaccard, langid, neighbours, packing, quality, secret_scan, shards, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -32,6 +32,16 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.fit(docs))
 
 
+@_query
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.neighbours(_table(spark, sf_dir, "embeddings"))
+
+
+@_query
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.tokenize(_table(spark, sf_dir, "documents"))
+
+
 @_query
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard(_table(spark, sf_dir, "documents"))
@@ -88,3 +98,97 @@ counted AS (SELECT doc_id, i, count(*) OVER (PARTITION BY h) AS c FROM windows),
 islands AS (SELECT doc_id, i, c, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS island FROM counted WHERE c > 1)
 SELECT doc_id, CAST(min(i) AS INTEGER) AS start_word, CAST(max(i) + 50 AS INTEGER) AS end_word, max(c) AS copies
 FROM islands GROUP BY doc_id, island"""
+
+ORACLES["op3_nearest_neighbours"] = """
+WITH pairs AS (
+  SELECT a.vec_id, b.vec_id AS neighbour_id,
+    round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS cosine
+  FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id)
+SELECT *, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY cosine DESC, neighbour_id) AS INTEGER) AS rank
+FROM pairs WHERE cosine >= 0.85"""
+
+_DETECT = r"""
+WITH words AS (SELECT doc_id, lang, ' ' || unnest(regexp_extract_all(lower(text), '\p{L}+')) || ' ' AS w FROM documents WHERE text IS NOT NULL),
+places AS (SELECT doc_id, lang, w, unnest(range(1, length(w) + 1)) AS i FROM words),
+grams AS (
+  SELECT doc_id, lang, w[i] AS g FROM places WHERE i > 1 AND i < length(w)
+  UNION ALL SELECT doc_id, lang, w[i:i + 1] FROM places WHERE i < length(w)
+  UNION ALL SELECT doc_id, lang, w[i:i + 2] FROM places WHERE i + 1 < length(w)),
+counts AS (SELECT doc_id, any_value(lang) AS lang, g, count(*) AS n FROM grams GROUP BY doc_id, g),
+own AS (SELECT doc_id, g, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, g) - 1 AS r FROM counts QUALIFY r < 300),
+chosen AS (
+  SELECT doc_id, lang FROM documents WHERE lang IS NOT NULL AND text IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY lang ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) <= 400),
+profiles AS (
+  SELECT lang, g, row_number() OVER (PARTITION BY lang ORDER BY sum(n) DESC, g) - 1 AS r
+  FROM counts SEMI JOIN chosen USING (doc_id) GROUP BY lang, g QUALIFY r < 300),
+far AS (
+  SELECT o.doc_id, l.lang, sum(CASE WHEN p.r IS NULL THEN 300 ELSE abs(p.r - o.r) END) AS d, count(*) AS n
+  FROM own o CROSS JOIN (SELECT DISTINCT lang FROM profiles) l LEFT JOIN profiles p ON p.lang = l.lang AND p.g = o.g
+  GROUP BY 1, 2),
+best AS (SELECT * FROM far QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY d, lang) = 1)"""
+ORACLES["op2_language_id"] = _DETECT + """
+SELECT documents.doc_id, best.lang AS detected, best.d / (300 * best.n) AS distance, coalesce(best.d / (300 * best.n) <= 0.7, false) AS accepted
+FROM documents LEFT JOIN best ON documents.doc_id = best.doc_id"""
+
+_STOPS = ", ".join(f"'{w}'" for w in quality.STOP_WORDS)
+ORACLES["op7_quality_rules"] = rf"""
+WITH m AS (
+  SELECT doc_id, coalesce(text, '') AS t, len(regexp_extract_all(t, '[^ \t\n\r\f\x0b]+')) AS words,
+    length(regexp_replace(t, '[ \t\n\r\f\x0b]', '', 'g')) AS dense,
+    length(regexp_replace(t, '[ \t\n\r\f\x0b0-9.,;:!?''"()\[\]{{}}<>#$%&*+\-/=@\\^_`|~]', '', 'g')) AS letters,
+    length(t) - length(regexp_replace(t, '[#$%&*{{}}<>|^~=_@]', '', 'g')) AS symbols,
+    length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS capitals,
+    len(list_filter(regexp_split_to_array(lower(t), '[ \t\n\r\f\x0b]+'), lambda w: w IN ({_STOPS}))) AS stops,
+    len(string_split(t, chr(10))) AS lines, len(list_distinct(string_split(t, chr(10)))) AS distinct_lines,
+    len(regexp_extract_all(t, '(?m)^[ \t]*[-*•]')) AS bullets,
+    len(regexp_extract_all(t, '(?m)(\.\.\.|…)[ \t]*$')) AS ellipses
+  FROM documents),
+v AS (
+  SELECT doc_id, words, CAST(words AS DOUBLE) AS word_count, dense / nullif(words, 0) AS mean_word_length, letters / nullif(dense, 0) AS letter_ratio,
+    symbols / nullif(words, 0) AS symbol_ratio, capitals / nullif(dense, 0) AS capital_ratio, stops / nullif(words, 0) AS stop_word_ratio,
+    1 - distinct_lines / lines AS repeated_line_ratio, bullets / lines AS bullet_line_ratio, ellipses / lines AS ellipsis_line_ratio
+  FROM m),
+f AS (
+  SELECT *, concat_ws(',', CASE WHEN word_count < 1 OR word_count > 100000 THEN 'word_count' END,
+    CASE WHEN words >= 10 AND (mean_word_length < 2 OR mean_word_length > 12) THEN 'mean_word_length' END,
+    CASE WHEN words >= 10 AND letter_ratio < 0.7 THEN 'letter_ratio' END, CASE WHEN words >= 10 AND symbol_ratio > 0.6 THEN 'symbol_ratio' END,
+    CASE WHEN words >= 10 AND capital_ratio > 0.5 THEN 'capital_ratio' END, CASE WHEN words >= 60 AND stop_word_ratio < 0.02 THEN 'stop_word_ratio' END,
+    CASE WHEN words >= 10 AND repeated_line_ratio > 0.5 THEN 'repeated_line_ratio' END, CASE WHEN words >= 10 AND bullet_line_ratio > 0.9 THEN 'bullet_line_ratio' END,
+    CASE WHEN words >= 10 AND ellipsis_line_ratio > 0.3 THEN 'ellipsis_line_ratio' END) AS failed
+  FROM v)
+SELECT * EXCLUDE (words), failed = '' AS keep FROM f"""
+
+ORACLES["op9_url_filter"] = r"""
+WITH marks AS (
+  SELECT doc_id, max(CASE WHEN toxic IS NULL AND quality IS NULL THEN NULL WHEN toxic = 1 OR quality = 0 THEN 1 ELSE 0 END) AS bad
+  FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+raw AS (
+  SELECT page_id, nullif(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '\.+$', ''), '') AS host,
+    TRY_CAST(nullif(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*(?:/[^/?#]*?)*?/([0-9]{1,18})(?:[./?#]|$)', 1), '') AS BIGINT) AS doc_id
+  FROM pages),
+parts AS (
+  SELECT *, regexp_extract(host, '[^.]*$') AS last, regexp_extract(host, '([^.]*\.)?[^.]*$') AS two, regexp_extract(host, '([^.]*\.)?([^.]*\.)?[^.]*$') AS three,
+    two IN (""" + ", ".join(f"'{s}'" for s in hosts.SECOND_LEVEL) + r""") AS listed,
+    CASE WHEN listed THEN two ELSE last END AS suffix, CASE WHEN listed THEN three ELSE two END AS domain
+  FROM raw),
+h AS (
+  SELECT host, domain, suffix, count(bad) AS n, CAST(coalesce(sum(bad), 0) AS DOUBLE) AS bad
+  FROM parts LEFT JOIN marks ON parts.doc_id = marks.doc_id WHERE host IS NOT NULL GROUP BY 1, 2, 3),
+total AS (SELECT coalesce(sum(bad) / nullif(sum(n), 0), 0.5) AS mean FROM h),
+s0 AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, any_value(mean) AS mean FROM h, total GROUP BY suffix),
+ws AS (SELECT {weight} AS weight FROM s0),
+s1 AS (SELECT suffix, (bad + weight * mean) / (n + weight) AS mean FROM s0, ws),
+d0 AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad, any_value(mean) AS mean FROM h JOIN s1 USING (suffix) GROUP BY domain, suffix),
+wd AS (SELECT {weight} AS weight FROM d0),
+d1 AS (SELECT domain, (bad + weight * mean) / (n + weight) AS mean FROM d0, wd),
+h0 AS (SELECT h.*, mean FROM h JOIN d1 USING (domain)),
+wh AS (SELECT {weight} AS weight FROM h0),
+h1 AS (SELECT host, n, bad, (bad + weight * mean) / (n + weight) AS mean, weight FROM h0, wh),
+h2 AS (SELECT *, greatest(0, mean - 1.645 * sqrt(mean * (1 - mean) / (n + weight + 1))) AS low FROM h1)
+SELECT page_id, host, domain, suffix, n AS labelled, CAST(bad AS BIGINT) AS bad, round(mean, 9) AS rate, round(low, 9) AS lower, coalesce(low <= 0.3, true) AS keep
+FROM parts LEFT JOIN h2 USING (host)""".replace(
+    "{weight}",
+    """least(greatest(coalesce(CASE WHEN (sum((bad - n * mean) ** 2) - sum(n * mean * (1 - mean))) / nullif(sum(n * (n - 1) * mean * (1 - mean)), 0) > 0
+  THEN 1 / ((sum((bad - n * mean) ** 2) - sum(n * mean * (1 - mean))) / nullif(sum(n * (n - 1) * mean * (1 - mean)), 0)) - 1 ELSE 1000 END, 1000), 1), 1000)""",
+)
