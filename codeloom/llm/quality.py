@@ -6,13 +6,13 @@ pass on the JVM, with no user function, join or exchange.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm import kernels as K
-
+_QUOTIENT = re.compile(r"(\w+) / (\w+)")
 STOP_WORDS = tuple(
     sorted(
         set(
@@ -31,7 +31,7 @@ def _sql(text: str) -> str:
     return text.replace("'", "\\'")
 
 
-_WHITE = r" \t\n\r\f" + "\x0b"
+_WHITE = r" \t\n\r\u000c\u000b"
 _MEASURES = {
     "words": r"regexp_count(text, '[^ \\t\\n\\r\\f\\x0b]+')",
     "dense": rf"length(translate(text, '{_WHITE}', ''))",
@@ -39,6 +39,7 @@ _MEASURES = {
     "symbols": f"length(text) - length(translate(text, '{_SYMBOLS}', ''))",
     "capitals": "length(text) - length(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))",
     "stops": rf"size(filter(split(lower(text), '[ \\t\\n\\r\\f\\x0b]+'), w -> w IN ({', '.join(repr(w) for w in STOP_WORDS)})))",
+    "distinct_words": r"size(array_distinct(filter(split(lower(text), '[ \\t\\n\\r\\f\\x0b]+'), w -> w <> '')))",
     "lines": r"size(split(text, '\\n', -1))",
     "distinct_lines": r"size(array_distinct(split(text, '\\n', -1)))",
     "bullets": r"regexp_count(text, '(?m)^[ \\t]*[-*\u2022]')",
@@ -61,10 +62,11 @@ class Rule:
 RULES = (
     Rule("word_count", "words", 1, 100_000, 0),
     Rule("mean_word_length", "dense / words", 2.0, 12.0, 10),
-    Rule("letter_ratio", "letters / dense", 0.7, None, 10),
-    Rule("symbol_ratio", "symbols / words", None, 0.6, 10),
+    Rule("letter_ratio", "letters / dense", 0.7, None, 30),
+    Rule("symbol_ratio", "symbols / words", None, 0.3, 30),
     Rule("capital_ratio", "capitals / dense", None, 0.5, 10),
-    Rule("stop_word_ratio", "stops / words", 0.02, None, 60),
+    Rule("stop_word_ratio", "stops / words", 0.05, None, 60),
+    Rule("distinct_word_ratio", "distinct_words / words", 0.1, None, 30),
     Rule("repeated_line_ratio", "1 - distinct_lines / lines", None, 0.5, 10),
     Rule("bullet_line_ratio", "bullets / lines", None, 0.9, 10),
     Rule("ellipsis_line_ratio", "ellipses / lines", None, 0.3, 10),
@@ -78,7 +80,7 @@ def evaluate(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     null; a null value fails no rule. Null ids and repeated rows are kept; other columns are ignored."""
     text = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     measured = text.select("doc_id", *[F.expr(e).cast("long").alias(n) for n, e in _MEASURES.items()])
-    values = measured.select("doc_id", "words", *[F.expr(f"try_divide({r.value.replace(' / ', ', ')})" if r.value.count("/") == 1 and "-" not in r.value else (f"1 - try_divide({r.value[4:].replace(' / ', ', ')})" if r.value.startswith("1 - ") else f"cast({r.value} as double)")).alias(r.name) for r in rules])
+    values = measured.select("doc_id", "words", *[F.expr(f"cast({_QUOTIENT.sub(r'try_divide(\1, \2)', r.value)} as double)").alias(r.name) for r in rules])
     broken = [F.when((F.col("words") >= r.words) & ((F.col(r.name) < r.low if r.low is not None else F.lit(False)) | (F.col(r.name) > r.high if r.high is not None else F.lit(False))), F.lit(r.name)) for r in rules]
     failed = F.concat_ws(",", *broken)
     return values.withColumn("failed", failed).select("doc_id", *[r.name for r in rules], "failed", (F.col("failed") == "").alias("keep"))

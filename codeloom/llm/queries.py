@@ -140,20 +140,22 @@ WITH m AS (
     length(t) - length(regexp_replace(t, '[#$%&*{{}}<>|^~=_@]', '', 'g')) AS symbols,
     length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS capitals,
     len(list_filter(regexp_split_to_array(lower(t), '[ \t\n\r\f\x0b]+'), lambda w: w IN ({_STOPS}))) AS stops,
+    len(list_distinct(list_filter(regexp_split_to_array(lower(t), '[ \t\n\r\f\x0b]+'), lambda w: w <> ''))) AS distinct_words,
     len(string_split(t, chr(10))) AS lines, len(list_distinct(string_split(t, chr(10)))) AS distinct_lines,
     len(regexp_extract_all(t, '(?m)^[ \t]*[-*•]')) AS bullets,
     len(regexp_extract_all(t, '(?m)(\.\.\.|…)[ \t]*$')) AS ellipses
   FROM documents),
 v AS (
   SELECT doc_id, words, CAST(words AS DOUBLE) AS word_count, dense / nullif(words, 0) AS mean_word_length, letters / nullif(dense, 0) AS letter_ratio,
-    symbols / nullif(words, 0) AS symbol_ratio, capitals / nullif(dense, 0) AS capital_ratio, stops / nullif(words, 0) AS stop_word_ratio,
+    symbols / nullif(words, 0) AS symbol_ratio, capitals / nullif(dense, 0) AS capital_ratio, stops / nullif(words, 0) AS stop_word_ratio, distinct_words / nullif(words, 0) AS distinct_word_ratio,
     1 - distinct_lines / lines AS repeated_line_ratio, bullets / lines AS bullet_line_ratio, ellipses / lines AS ellipsis_line_ratio
   FROM m),
 f AS (
   SELECT *, concat_ws(',', CASE WHEN word_count < 1 OR word_count > 100000 THEN 'word_count' END,
     CASE WHEN words >= 10 AND (mean_word_length < 2 OR mean_word_length > 12) THEN 'mean_word_length' END,
-    CASE WHEN words >= 10 AND letter_ratio < 0.7 THEN 'letter_ratio' END, CASE WHEN words >= 10 AND symbol_ratio > 0.6 THEN 'symbol_ratio' END,
-    CASE WHEN words >= 10 AND capital_ratio > 0.5 THEN 'capital_ratio' END, CASE WHEN words >= 60 AND stop_word_ratio < 0.02 THEN 'stop_word_ratio' END,
+    CASE WHEN words >= 30 AND letter_ratio < 0.7 THEN 'letter_ratio' END, CASE WHEN words >= 30 AND symbol_ratio > 0.3 THEN 'symbol_ratio' END,
+    CASE WHEN words >= 10 AND capital_ratio > 0.5 THEN 'capital_ratio' END, CASE WHEN words >= 60 AND stop_word_ratio < 0.05 THEN 'stop_word_ratio' END,
+    CASE WHEN words >= 30 AND distinct_word_ratio < 0.1 THEN 'distinct_word_ratio' END,
     CASE WHEN words >= 10 AND repeated_line_ratio > 0.5 THEN 'repeated_line_ratio' END, CASE WHEN words >= 10 AND bullet_line_ratio > 0.9 THEN 'bullet_line_ratio' END,
     CASE WHEN words >= 10 AND ellipsis_line_ratio > 0.3 THEN 'ellipsis_line_ratio' END) AS failed
   FROM v)
