@@ -100,7 +100,8 @@ def fit(docs: DataFrame, top: int = TOP, sample_rows: int = SAMPLE_ROWS) -> Prof
                 grams, n = np.unique(codes, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams), pa.array(n)], ["lang", "gram", "n"])
 
-    sample = labelled.select("doc_id", "lang", "text").join(chosen, ["doc_id", "lang"], "left_semi")
+    # at most sample_rows ids a language, so the text needn't be shuffled
+    sample = labelled.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi")
     counts = sample.select("lang", "text").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     found: dict[str, list[int]] = {}
