@@ -173,8 +173,8 @@ WITH f AS (
 s(section_ord, section, noun) AS (VALUES (1, 'complexity_results', 'high cyclomatic complexity functions'), (2, 'large_files', 'large files'), (3, 'large_classes', 'large classes'), (4, 'unused', 'unused imports/variables'),
   (5, 'todo_fixme', 'TODO/FIXME comments'), (6, 'duplicates', 'duplicate code blocks'), (7, 'bns_results', 'Bugs and Safety Issues')),
 g AS (SELECT section, severity, count(*) AS n FROM f GROUP BY section, severity),
-t AS (SELECT section, sum(n) AS n, string_agg(CASE WHEN severity IS NOT NULL THEN n || ' ' || severity END, ', ' ORDER BY CASE substr(severity, 1, 1) WHEN 'C' THEN 1 WHEN 'H' THEN 2 WHEN 'M' THEN 3 ELSE 4 END) AS by FROM g GROUP BY section)
-SELECT s.section_ord, s.section, CASE WHEN t.n > 0 THEN '- ' || CAST(t.n AS BIGINT) || ' ' || noun || coalesce(' (' || by || ')', '') ELSE '- 0 ' || noun || ' ✅' END AS line
+t AS (SELECT section, sum(n) AS n, string_agg(CASE WHEN severity IS NOT NULL THEN n || ' ' || severity END, ', ' ORDER BY CASE substr(severity, 1, 1) WHEN 'C' THEN 1 WHEN 'H' THEN 2 WHEN 'M' THEN 3 ELSE 4 END) AS grades FROM g GROUP BY section)
+SELECT s.section_ord, s.section, CASE WHEN t.n > 0 THEN '- ' || CAST(t.n AS BIGINT) || ' ' || noun || coalesce(' (' || grades || ')', '') ELSE '- 0 ' || noun || ' ✅' END AS line
 FROM s LEFT JOIN t ON s.section = t.section""")
 def section_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary.summary(summary.union(_sections(spark, sf_dir)))
@@ -194,8 +194,8 @@ def tagged_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(f"""
 WITH s AS (SELECT doc_id AS id, list_distinct(regexp_extract_all(text, '{_LEXEME}')) AS t FROM documents),
 e AS (SELECT id, len(t) AS n, unnest(t) AS token FROM s WHERE len(t) >= 10),
-p AS (SELECT a.id AS a, b.id AS b, count(*) AS both, any_value(a.n) AS an, any_value(b.n) AS bn FROM e a JOIN e b ON a.token = b.token AND a.id < b.id GROUP BY 1, 2)
-SELECT a, b, CAST(both / (an + bn - both) AS DOUBLE) AS similarity FROM p WHERE both / (an + bn - both) >= 0.8""")
+p AS (SELECT a.id AS a, b.id AS b, count(*) AS shared, any_value(a.n) AS an, any_value(b.n) AS bn FROM e a JOIN e b ON a.token = b.token AND a.id < b.id GROUP BY 1, 2)
+SELECT a, b, CAST(shared / (an + bn - shared) AS DOUBLE) AS similarity FROM p WHERE shared / (an + bn - shared) >= 0.8""")
 def similar_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.similar(_table(spark, sf_dir, "documents").select("doc_id", C.lexemes(F.col("text")).alias("tokens")), "doc_id", "tokens", 0.8, 10)
 
@@ -212,7 +212,7 @@ def clone_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _PYTHON = r"concat('import os\nimport sys\n\nclass C', p_partkey, ':\n    size = ', p_size, '\n\n    def run(self, a, b=[]):\n        x = 1\n', repeat('        if a > 1:\n            a = b\n', p_size % 5), '        return eval(a)\n\n\ndef f', p_partkey, '(a):\n    # TODO: ', p_brand, '\n    # y = 2\n    return [v for v in a if v]\n')"
-_ECMA = r"concat('// FIXME later ', p_partkey, '\nclass K', p_partkey, ' {\n  run(a) {\n', repeat('    if (a > 1 && a < 9) { a = a ? 1 : 2; }\n', p_size % 5), '    return a;\n  }\n}\nfunction g', p_partkey, '() { return `x${1}`; }\n')"
+_ECMA = r"concat('// FIXME later ', p_partkey, '\nclass K', p_partkey, ' {\n  run(a) {\n', repeat('    if (a > 1 && a < 9) { a = a ? 1 : 2; }\n', p_size % 5), '    return a;\n  }\n}\nfunction g', p_partkey, '() { return `x`; }\n')"
 _SHARP = r"concat('/* BUG: ', p_partkey, ' */\npublic class X', p_partkey, ' {\n    public int Foo(int? a) {\n', repeat('        foreach (var b in c) { if (b == 1 || b == 2) return 1; }\n', p_size % 5), '        switch (a) { case 1: return 2; case 2: return 3; default: return a ?? 0; }\n    }\n    public int Bar() => 3;\n}\n')"
 
 
@@ -272,12 +272,21 @@ def py_lint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.lint(parsed_code(spark, sf_dir))
 
 
-@_query()
+@_query(f"""
+WITH c AS (
+  SELECT 'C' || p_partkey AS name, 'py/p' || p_partkey || '.py' AS file, 4 AS start_line, 9 + 2 * (p_size % 5) AS end_line, 6 + 4 * (p_size % 5) AS n FROM part
+  UNION ALL SELECT 'K' || p_partkey, 'js/p' || p_partkey || '.js', 2, 6 + p_size % 5, 4 + 8 * (p_size % 5) FROM part
+  UNION ALL SELECT 'X' || p_partkey, 'cs/p' || p_partkey || '.cs', 2, 7 + p_size % 5, 6 + 5 * (p_size % 5) FROM part)
+SELECT name, file, CAST(start_line AS INTEGER) AS start_line, CAST(end_line AS INTEGER) AS end_line, CAST(n AS INTEGER) AS token_count, {_GRADE.format("(n / 10)")} AS severity
+FROM c WHERE n >= 10 ORDER BY n DESC, file, start_line, name LIMIT 20""")
 def code_large_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.large_classes(parsing.blocks(parsed_code(spark, sf_dir)), 10, 20)
 
 
-@_query()
+@_query(f"""
+SELECT 'py/p' || p_partkey || '.py' AS file, 'python' AS language, CAST(70 + 12 * (p_size % 5) AS INTEGER) AS token_count FROM part
+UNION ALL SELECT 'js/p' || p_partkey || '.js', 'javascript', CAST(len(regexp_extract_all({_ECMA.replace(chr(92) + "n", "' || chr(10) || '")}, '{_LEXEME}')) AS INTEGER) FROM part
+UNION ALL SELECT 'cs/p' || p_partkey || '.cs', 'csharp', CAST(11 + 10 * (p_size % 5) AS INTEGER) FROM part""")
 def code_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = code(spark, sf_dir)
     return O.token_counts(files, parsing.parse(files))
