@@ -2,7 +2,8 @@
 
 Documents of a source stay in as few groups as balance allows: a source is cut by hash into
 groups that are small against a shard. Groups, largest first, go to the shard for which the
-dot product of the group with the shard's residual capacity is highest.
+dot product of the group with the shard's residual capacity is highest. That one task sees
+groups only: about shards x groups_per_shard, and one for each small source.
 """
 
 from __future__ import annotations
@@ -11,9 +12,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from codeloom.llm.jaccard import checkpoint
+
 #: Bytes of text in a shard; groups that fill a shard, at least; hash cells of which groups are made.
 SHARD_BYTES, GROUPS_PER_SHARD, CELLS = 16 << 20, 24, 4096
 
@@ -46,30 +49,31 @@ def shard(docs: DataFrame, shard_bytes: int = SHARD_BYTES, groups_per_shard: int
     cell = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(cells))
     source = F.col("source").cast("string")
     measured = docs.select(source.alias("source"), cell.alias("cell"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("bytes"), F.expr(r"coalesce(regexp_count(text, '[^ \\t\\n\\r\\f\\x0b]+'), 0)").alias("tokens"))
-    cells_ = measured.groupBy("source", "cell").agg(F.sum("bytes").alias("bytes"), F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("rows"))
+    spark = docs.sparkSession
+    cells_ = checkpoint(spark, measured.groupBy("source", "cell").agg(F.sum("bytes").alias("bytes"), F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("rows")))
+    total = cells_.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("bytes", "tokens", "rows")]).collect()[0]
+    shards = max(1, -(-total["bytes"] // shard_bytes))
+    of_source = Window.partitionBy("source")
+    need = F.greatest(*[F.ceil(F.sum(c).over(of_source) * (shards * groups_per_shard / max(1, total[c]))) for c in ("bytes", "tokens", "rows")])
+    grouped = cells_.withColumn("pieces", F.least(F.greatest(need, F.lit(1)), F.lit(cells))).withColumn("piece", F.floor(F.col("cell") * F.col("pieces") / cells))
+    groups = grouped.groupBy("source", "piece").agg(F.sum("bytes").alias("bytes"), F.sum("tokens").alias("tokens"), F.sum("rows").alias("rows"))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
         if not held:
             return
-        t = pa.Table.from_batches(held).sort_by([("source", "ascending"), ("cell", "ascending")])
-        size = np.stack([t.column(c).to_numpy() for c in ("bytes", "tokens", "rows")], axis=1).astype(np.float64)
-        names = t.column("source").combine_chunks().dictionary_encode(null_encoding="encode")
-        name, number = names.indices.to_numpy(zero_copy_only=False).astype(np.int64), t.column("cell").to_numpy()
-        shards = max(1, int(-(-size[:, 0].sum() // shard_bytes)))
-        unit = size.sum(axis=0) / (shards * groups_per_shard)
-        of_source = np.stack([np.bincount(name, size[:, i]) for i in range(3)], axis=1)
-        pieces = np.clip(np.ceil((of_source / np.where(unit > 0, unit, 1)).max(axis=1)), 1, cells).astype(np.int64)
-        piece = number * pieces[name] // cells
-        code, group = np.unique(name * cells + piece, return_inverse=True)
-        sizes = np.stack([np.bincount(group, size[:, i]) for i in range(3)], axis=1)
-        share = (sizes / np.where(size.sum(axis=0) > 0, size.sum(axis=0), 1)).max(axis=1)
-        order = np.lexsort((code, -share))
-        to = np.empty(len(code), np.int64)
+        t = pa.Table.from_batches(held).sort_by([("source", "ascending"), ("piece", "ascending")])
+        sizes = np.stack([t.column(c).to_numpy() for c in ("bytes", "tokens", "rows")], axis=1).astype(np.float64)
+        share = (sizes / np.where(sizes.sum(axis=0) > 0, sizes.sum(axis=0), 1)).max(axis=1)
+        order = np.argsort(-share, kind="stable")
+        to = np.empty(len(order), np.int64)
         to[order] = place(sizes[order], shards)
-        yield pa.RecordBatch.from_arrays([t.column("source").combine_chunks(), pa.array(number), pa.array(to[group])], ["source", "cell", "shard"])
+        yield pa.RecordBatch.from_arrays([t.column("source").combine_chunks(), t.column("piece").combine_chunks(), pa.array(to)], ["source", "piece", "shard"])
 
-    placed = cells_.coalesce(1).mapInArrow(assign, "source string, cell long, shard long")
+    of_group = groups.coalesce(1).mapInArrow(assign, "source string, piece long, shard long")
+    cell_of = grouped.select("source", "cell", "piece")
+    both = cell_of["source"].eqNullSafe(of_group["source"]) & (cell_of["piece"] == of_group["piece"])
+    placed = cell_of.join(of_group, both).select(cell_of["source"], "cell", "shard")
     rows = docs.select("doc_id", source.alias("source"), cell.alias("cell"))
     same = rows["source"].eqNullSafe(placed["source"]) & (rows["cell"] == placed["cell"])
     return rows.join(placed, same).select("doc_id", rows["source"], "shard")
