@@ -43,7 +43,7 @@ def _fit(units: DataFrame) -> DataFrame:
 def reputation(trials: DataFrame) -> DataFrame:
     """(host, domain, suffix, n, bad, mean, sd) for trials (host, domain, suffix, bad 0/1 or null if unlabelled)."""
     hosts = trials.where("host is not null").groupBy("host", "domain", "suffix").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).cast("double").alias("bad"))
-    total = hosts.agg(F.coalesce(F.sum("bad") / F.when(F.sum("n") > 0, F.sum("n")), F.lit(0.5)).alias("mean"))
+    total = hosts.agg((F.sum("bad") / F.when(F.sum("n") > 0, F.sum("n"))).alias("mean"))
 
     def level(units: DataFrame, above: DataFrame, on: list[str]) -> DataFrame:
         joined = units.join(above, on) if on else units.crossJoin(F.broadcast(above))  # above is one row there
@@ -65,7 +65,8 @@ def filter_urls(pages: DataFrame, labels: DataFrame, threshold: float = THRESHOL
     of one document it is bad if any says so; toxic = 1 or quality = 0 is bad, nulls say nothing.
     labelled and bad count the host's pages, rate and lower are its posterior mean and bound,
     mean - z * sd, rounded to 9 digits. A null URL, or one without a host, has nulls there and
-    is kept, as is a page of a host without labels unless its domain speaks against it. Null
+    is kept, as is a page of a host without labels unless its domain speaks against it; without any label
+    in the corpus rates are null and all is kept. Null
     page ids and repeated rows are kept, and count; other columns are ignored."""
     marks = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.when(F.col("toxic").isNull() & F.col("quality").isNull(), None).otherwise((F.coalesce(F.col("toxic") == 1, F.lit(False)) | F.coalesce(F.col("quality") == 0, F.lit(False))).cast("int"))).alias("bad"))
     number = F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*(?:/[^/?#]*?)*?/([0-9]{1,18})(?:[./?#]|$)", 1)
@@ -73,7 +74,7 @@ def filter_urls(pages: DataFrame, labels: DataFrame, threshold: float = THRESHOL
     trials = parts.select("host", "domain", "suffix", "doc_id").where("doc_id is not null").join(marks, "doc_id").select("host", "domain", "suffix", "bad")
     unlabelled = parts.select("host", "domain", "suffix", F.lit(None).cast("int").alias("bad")).distinct()
     scores = reputation(trials.unionByName(unlabelled))
-    lower = F.greatest(F.lit(0.0), F.col("mean") - z * F.col("sd"))
+    lower = F.when(F.col("mean").isNotNull(), F.greatest(F.lit(0.0), F.col("mean") - z * F.col("sd")))
     return parts.join(scores.select("host", "n", "bad", "mean", "sd"), "host", "left").select(
         "page_id", "host", "domain", "suffix", F.col("n").alias("labelled"), "bad", F.round("mean", 9).alias("rate"), F.round(lower, 9).alias("lower"), F.coalesce(lower <= threshold, F.lit(True)).alias("keep")
     )

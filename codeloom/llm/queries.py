@@ -177,7 +177,7 @@ parts AS (
 h AS (
   SELECT host, domain, suffix, count(bad) AS n, CAST(coalesce(sum(bad), 0) AS DOUBLE) AS bad
   FROM parts LEFT JOIN marks ON parts.doc_id = marks.doc_id WHERE host IS NOT NULL GROUP BY 1, 2, 3),
-total AS (SELECT coalesce(sum(bad) / nullif(sum(n), 0), 0.5) AS mean FROM h),
+total AS (SELECT sum(bad) / nullif(sum(n), 0) AS mean FROM h),
 s0 AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, any_value(mean) AS mean FROM h, total GROUP BY suffix),
 ws AS (SELECT {weight} AS weight FROM s0),
 s1 AS (SELECT suffix, (bad + weight * mean) / (n + weight) AS mean FROM s0, ws),
@@ -187,7 +187,7 @@ d1 AS (SELECT domain, (bad + weight * mean) / (n + weight) AS mean FROM d0, wd),
 h0 AS (SELECT h.*, mean FROM h JOIN d1 USING (domain)),
 wh AS (SELECT {weight} AS weight FROM h0),
 h1 AS (SELECT host, n, bad, (bad + weight * mean) / (n + weight) AS mean, weight FROM h0, wh),
-h2 AS (SELECT *, greatest(0, mean - 1.645 * sqrt(mean * (1 - mean) / (n + weight + 1))) AS low FROM h1)
+h2 AS (SELECT *, CASE WHEN mean IS NOT NULL THEN greatest(0, mean - 1.645 * sqrt(mean * (1 - mean) / (n + weight + 1))) END AS low FROM h1)
 SELECT page_id, host, domain, suffix, n AS labelled, CAST(bad AS BIGINT) AS bad, round(mean, 9) AS rate, round(low, 9) AS lower, coalesce(low <= 0.3, true) AS keep
 FROM parts LEFT JOIN h2 USING (host)""".replace(
     "{weight}",

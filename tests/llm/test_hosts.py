@@ -90,5 +90,5 @@ def test_empty_tables(spark):
     pages = spark.createDataFrame([(1, "https://a.com/1")], "page_id long, url string")
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     (r,) = H.filter_urls(pages, labels).collect()
-    assert (r.labelled, r.bad, r.rate, r.keep) == (0, 0, 0.5, True)
+    assert (r.labelled, r.bad, r.rate, r.keep) == (0, 0, None, True)
     assert H.filter_urls(pages.where("false"), labels).collect() == []

@@ -49,7 +49,7 @@ def test_identify_equals_brute_force(table, rows):
     odd = [(100, None, None), (101, "", "en"), (102, "123 !!", None), (103, "жзи клм", None), (None, "the dog and the cat", None), (104, "der hund " * 20_000, None), (0, rows[0][1], "en")]
     docs = table([*rows, *odd])
     profiles = L.fit(docs, top=40, sample_rows=1000)
-    counts = {lang: sum((plain_grams(t) for i, t, x in [*rows, (101, "", "en"), rows[0]] if x == lang), Counter()) for lang in TEXTS}
+    counts = {lang: sum((plain_grams(t) for i, t, x in [*rows, (101, "", "en"), (0, rows[0][1], "en")] if x == lang), Counter()) for lang in TEXTS}
     plain = {lang: ranked(c, 40) for lang, c in counts.items()}
     for r in L.identify(docs.drop("lang").withColumnRenamed("source", "lang"), profiles).join(docs.select("doc_id", "text"), "doc_id").collect():
         own = ranked(plain_grams(r.text or ""), 40)
