@@ -52,10 +52,10 @@ def large_classes(blocks: DataFrame, threshold: int = 300, top_n: int | None = 1
 def duplicates(blocks: DataFrame, min_size: int = 50) -> DataFrame:
     """Groups of blocks with equal token sequences: (size, num_duplicates, locations, cross_file, tokens, similarity).
 
-    Rows are dealt by a hash of the sequence first, so that the shuffle groups on 16 bytes; the sequence itself then
-    settles equality. Locations are in order of file and lines."""
-    sized = blocks.where(F.size("tokens") >= min_size).select("location", "tokens", F.xxhash64("tokens").alias("h"), F.size("tokens").alias("size"))
-    groups = sized.groupBy("h", "size", "tokens").agg(F.count(F.lit(1)).alias("num_duplicates"), F.sort_array(F.collect_list("location")).alias("locations"), (F.min("location.file") != F.max("location.file")).alias("cross_file"))
+    The sequence itself is the grouping key, so equality is exact; aggregation starts before the shuffle. Whether
+    files differ is told by their least and greatest, without a distinct count. Locations are in order of file and lines."""
+    sized = blocks.where(F.size("tokens") >= min_size).select("location", "tokens", F.size("tokens").alias("size"))
+    groups = sized.groupBy("size", "tokens").agg(F.count(F.lit(1)).alias("num_duplicates"), F.sort_array(F.collect_list("location")).alias("locations"), (F.min("location.file") != F.max("location.file")).alias("cross_file"))
     return groups.where("num_duplicates >= 2").select("size", F.col("num_duplicates").cast("int").alias("num_duplicates"), "locations", "cross_file", "tokens", F.lit(1.0).alias("similarity"))
 
 
