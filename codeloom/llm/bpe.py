@@ -249,5 +249,6 @@ def tokenize(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
 
     A null text has null tokens and round_trip, and n_tokens null; an empty one no token. Null ids and repeated rows are
     kept; other columns are ignored."""
+    K.bound_batches(docs.sparkSession)
     with_tokens = docs.select("doc_id", "text").withColumn("tokens", encoded("text", path))
     return with_tokens.select("doc_id", "tokens", F.when(F.col("tokens").isNotNull(), F.size("tokens")).alias("n_tokens"), (decoded("tokens", path) == F.col("text")).alias("round_trip"))

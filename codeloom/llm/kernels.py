@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
 
 WHITE = np.zeros(256, dtype=bool)
 WHITE[list(b" \t\n\r\f\v")] = True
@@ -44,7 +45,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def bound_batches(spark: SparkSession, most: int = 4 << 20) -> None:
+    """Cuts the session's Arrow batches at `most` bytes, where they may be larger now: 10,000 long texts wouldn't fit in a worker."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    have = spark.conf.get(name).rstrip("b")
+    if not have.isdigit() or int(have) > most:
+        spark.conf.set(name, str(most))
+
+
+def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """Cuts batches into runs of rows with at most `most` bytes of text, or one row."""
     for batch in batches:
         n = batch.num_rows

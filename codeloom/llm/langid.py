@@ -90,6 +90,7 @@ class Profiles:
 
 def fit(docs: DataFrame, top: int = TOP, sample_rows: int = SAMPLE_ROWS) -> Profiles:
     """Profiles from at most sample_rows labelled rows of each language, those with the smallest md5(doc_id)."""
+    K.bound_batches(docs.sparkSession)
     w = Window.partitionBy("lang").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id")
     labelled = docs.where("lang is not null and doc_id is not null and text is not null")
     chosen = labelled.select("doc_id", "lang").withColumn("n", F.row_number().over(w)).where(F.col("n") <= sample_rows).drop("n")

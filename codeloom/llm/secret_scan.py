@@ -337,6 +337,7 @@ def train(carriers: list[str], examples: int = EXAMPLES, rounds: int = ROUNDS, s
 def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, examples: int = EXAMPLES, rounds: int = ROUNDS, seed: int = SEED) -> Field:
     """A field trained on carriers from at most sample_rows rows, those with the smallest md5(doc_id).
     Windows with a long token that has digits might hold a real secret, unlabelled, and carry nothing."""
+    K.bound_batches(docs.sparkSession)
     chosen = docs.where("doc_id is not null and text is not null").select("doc_id").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(sample_rows)
     rows = docs.where("text is not null").select("doc_id", "text").join(chosen.distinct(), "doc_id", "left_semi")
     windows = rows.select("doc_id", F.split("text", " ").alias("w")).select("doc_id", F.expr("slice(w, 1 + abs(xxhash64(doc_id) % greatest(1, size(w) - 24)), 24)").alias("w"))
@@ -347,7 +348,7 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, examples: int = EXAMPLE
 def find(field: Field, texts: pa.Array) -> list[list[tuple[int, int]]]:
     """Bytes from .. to of the secrets of each text."""
     out: list[list[tuple[int, int]]] = []
-    for piece in K.pieces(iter([pa.RecordBatch.from_arrays([texts], ["t"])]), "t", 1 << 20):
+    for piece in K.pieces(iter([pa.RecordBatch.from_arrays([texts], ["t"])]), "t", 1 << 18):
         data, offsets = K.flat(piece.column("t"))
         starts, ends, doc = tokens(data, offsets)
         mine: list[list[tuple[int, int]]] = [[] for _ in range(piece.num_rows)]

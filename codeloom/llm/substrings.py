@@ -192,6 +192,7 @@ def repeated_windows(docs: DataFrame, k: int = WORDS, m: int = MINIMISER) -> Dat
     doc_id and text are one document. Other columns are ignored."""
     if not 0 < m <= k:
         raise ValueError("m is in 1 .. k")
+    K.bound_batches(docs.sparkSession)
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     base = docs.where("doc_id is not null and text is not null").select(F.xxhash64(F.col("doc_id").cast("long"), "text").alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     return base.mapInArrow(_scatter(k, m, buckets), "bucket int, payload binary").groupBy("bucket").applyInArrow(_count(k), "doc_id long, key long, start int, windows int, copies long, is_first boolean")
