@@ -15,7 +15,7 @@ DEFAULT_IGNORED = tuple(".git .idea .next .pytest_cache .venv .vs .vscode ENV __
 LEXEME = r"[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]"
 SEVERITIES = (("Critical \U0001f534", 4), ("High \U0001f7e0", 3), ("Medium \U0001f7e1", 2), ("Low \U0001f7e2", 1), ("None", 0))
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
-MARKERS = r"TODO|TO[\s_-]?DO|TO[\s_-]?FIX|FIXME|FIX[\s_-]?ME|BUG|HACK|XXX|NOTE|OPTIMIZE|REVIEW|WARNING|TEMP|TBD"
+MARKERS = "|".join(w.replace("-", r"[\s_-]?") for w in "BUG FIX-ME HACK NOTE OPTIMIZE REVIEW TBD TEMP TO-DO TO-FIX WARNING XXX".split())
 
 
 def normalised_extensions(given: str | Iterable[str] | None) -> tuple[str, ...]:
