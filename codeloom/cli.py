@@ -8,19 +8,25 @@ import sys
 from codeloom import schemas
 from codeloom.functions import columns as C
 
+#: Options with a number: names, default, meaning.
+_NUMBERS = (
+    ("min-similarity min-sim", 0.8, "least similarity of near duplicates, 0 to 1"),
+    ("min-size", 50, "least tokens of a duplicate block"),
+    ("complexity-threshold", 10, "least complexity to report"),
+    ("large-file-threshold", 500, "least tokens of a large file"),
+    ("large-class-threshold", 300, "least tokens of a large class"),
+    ("top-n-large", 10, "largest files and classes to show; 0 for all"),
+)
+
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="codeloom", description="Code-quality findings of a source tree, by Spark.")
     p.add_argument("path", help="directory to analyse")
-    p.add_argument("--min-similarity", "--min-sim", type=float, default=0.8, help="least similarity of near duplicates, 0 to 1")
-    p.add_argument("--min-size", type=int, default=50, help="least tokens of a duplicate block")
+    for names, default, meaning in _NUMBERS:
+        p.add_argument(*(f"--{n}" for n in names.split()), type=type(default), default=default, help=meaning)
     p.add_argument("--output-format", choices=("text", "json", "markdown"), default="text")
     p.add_argument("--output-file", help="file to write to, instead of standard output")
     p.add_argument("--ignore-dirs", nargs="*", default=list(C.DEFAULT_IGNORED), help="names of folders to leave out")
-    p.add_argument("--complexity-threshold", type=int, default=10)
-    p.add_argument("--large-file-threshold", type=int, default=500)
-    p.add_argument("--large-class-threshold", type=int, default=300)
-    p.add_argument("--top-n-large", type=int, default=10, help="largest files and classes to show; 0 for all")
     p.add_argument("--extensions", nargs="*", help="extensions to include, also as one list separated by commas")
     p.add_argument("--only", nargs="*", choices=schemas.SECTIONS, default=list(schemas.SECTIONS), help="sections to compute")
     p.add_argument("--lint-ignore", nargs="*", default=[], help="codes to leave out of bugs and safety")

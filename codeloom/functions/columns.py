@@ -7,9 +7,9 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-LANGUAGES = {".py": "python", ".js": "javascript", ".jsx": "javascript", ".ts": "typescript", ".tsx": "tsx", ".cs": "csharp"}
+LANGUAGES = {f".{e}": name for name, es in (("csharp", "cs"), ("javascript", "js jsx"), ("python", "py"), ("tsx", "tsx"), ("typescript", "ts")) for e in es.split()}
 DEFAULT_EXTENSIONS = tuple(sorted(LANGUAGES))
-ALWAYS_IGNORED = (".venv", "venv", "env", "ENV")
+ALWAYS_IGNORED = tuple("ENV env venv .venv".split())
 DEFAULT_IGNORED = tuple(".git .idea .next .pytest_cache .venv .vs .vscode ENV __pycache__ bower_components build coverage dist env node_modules vendor venv".split())
 #: One lexical token: a run of letters, digits and _, or any other single sign. Java's \w is ASCII, hence the classes.
 LEXEME = r"[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]"
@@ -17,6 +17,9 @@ SEVERITIES = (("Critical \U0001f534", 4), ("High \U0001f7e0", 3), ("Medium \U000
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 MARKERS = "|".join(w.replace("-", r"[\s_-]?") for w in "BUG FIX-ME HACK NOTE OPTIMIZE REVIEW TBD TEMP TO-DO TO-FIX WARNING XXX".split())
 
+#: A marker in a comment, and the text after it.
+COMMENT_MARKER = rf"(?:[#*/\s]|^)\b({MARKERS})\b\s*:?\s*(.*)"
+
 
 def normalised_extensions(given: str | Iterable[str] | None) -> tuple[str, ...]:
     """Extensions with their dots; a string is split at commas, None means all known ones."""
@@ -121,13 +124,13 @@ def hash_marker(line: Column) -> tuple[Column, Column]:
 
 def comment_marker(comment: Column) -> tuple[Column, Column]:
     """Kind and text of the first marker in a comment that stands as a word of its own."""
-    pattern = rf"(?iU)(?:^|[\s#/*])\b({MARKERS})\b\s*(:)?\s*(.*)"
-    return F.upper(stripped(F.regexp_extract(comment, pattern, 1))), stripped(F.regexp_extract(comment, pattern, 3))
+    pattern = f"(?iU){COMMENT_MARKER}"
+    return F.upper(stripped(F.regexp_extract(comment, pattern, 1))), stripped(F.regexp_extract(comment, pattern, 2))
 
 
 def finding_fields(line: Column, codes: str = r"[A-Z]+\d+") -> dict[str, Column]:
     """file, line, code and message of a line such as `a.py:3:1: F401 'os' imported but unused`; all null if it isn't one."""
-    pattern = rf"^(.*?):(\d+):\d+:\s+({codes})\s+(.*)$"
+    pattern = rf"^(.*?):([0-9]+):[0-9]+:\s+({codes})\s+(.*)$"
     found = F.regexp_extract(line, pattern, 3) != ""
     part = lambda i: F.when(found, F.regexp_extract(line, pattern, i))
     return {"file": part(1), "line": part(2).cast("int"), "code": part(3), "message": stripped(part(4))}

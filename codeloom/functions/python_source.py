@@ -32,12 +32,18 @@ def token_count(raw: bytes | None) -> int:
 
 def blocks(tree: ast.Module | None) -> list[dict]:
     """Functions (not async ones) and classes at any depth, breadth first; tokens are the name and all names and constants inside."""
-    out = []
-    for node in ast.walk(tree) if tree else ():
-        if isinstance(node, (ast.FunctionDef, ast.ClassDef)):
-            inner = [n.id if isinstance(n, ast.Name) else str(n.value) for n in ast.walk(node) if isinstance(n, (ast.Name, ast.Constant))]
-            out.append({"start_line": node.lineno, "end_line": node.end_lineno, "type": "class" if isinstance(node, ast.ClassDef) else "function", "name": node.name, "tokens": [node.name, *inner]})
-    return out
+    kinds = {ast.ClassDef: "class", ast.FunctionDef: "function"}
+    found = [d for d in ast.walk(tree) if type(d) in kinds] if tree else []
+    return [{"type": kinds[type(d)], "name": d.name, "start_line": d.lineno, "end_line": d.end_lineno, "tokens": [d.name, *_words(d)]} for d in found]
+
+
+def _words(definition: ast.stmt) -> Iterator[str]:
+    for inner in ast.walk(definition):
+        match inner:
+            case ast.Name(id=name):
+                yield name
+            case ast.Constant(value=value):
+                yield str(value)
 
 
 class _Branches(ast.NodeVisitor):
@@ -129,8 +135,8 @@ def unused(tree: ast.Module | None) -> list[dict]:
         notes = [a for a in (getattr(node, "annotation", None), getattr(node, "returns", None)) if a is not None]
         for c in (c for a in notes for c in ast.walk(a) if isinstance(c, ast.Constant) and isinstance(c.value, str)):
             used |= set(re.findall(r"[^\W\d]\w*", c.value))
-    out = []
-    for node in ast.walk(tree):
+    out: list[dict] = []
+    for node in list(ast.walk(tree)):
         if isinstance(node, (ast.Import, ast.ImportFrom)):
             module = "." * (getattr(node, "level", 0) or 0) + (getattr(node, "module", None) or "")
             if module == "__future__":

@@ -36,12 +36,10 @@ class Settings:
     compat: bool = False
 
     def __post_init__(self) -> None:
-        self.path = Path(self.path)
-        if not self.path.exists():
-            raise ValueError(f"no such path: {self.path}")
-        if not self.path.is_dir():
-            raise ValueError(f"not a directory: {self.path}")
-        if not 0 <= self.min_similarity <= 1:
+        root = self.path = Path(self.path)
+        if not root.is_dir():
+            raise ValueError(f"{root} is not a directory" if root.exists() else f"{root} does not exist")
+        if self.min_similarity < 0 or self.min_similarity > 1:
             raise ValueError("min_similarity is in [0, 1]")
         if self.output_format not in ("text", "json", "markdown"):
             raise ValueError("output_format is text, json or markdown")

@@ -112,7 +112,7 @@ def marker_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(rf"""
 WITH c AS (SELECT page_id, unnest(regexp_extract_all(replace(replace(html, '<!-- ad ', '<!-- ' || CASE page_id % 3 WHEN 0 THEN 'TODO: ' WHEN 1 THEN 'mastodon ' ELSE 'see #note ' END), '-->', ' -->'), '(?s)<!--.*?-->')) AS comment FROM pages),
-m AS (SELECT page_id, regexp_extract(comment, '(?:^|[\s#/*])\b({C.MARKERS})\b\s*(:)?\s*(.*)', 1, 'i') AS kind, regexp_extract(comment, '(?:^|[\s#/*])\b({C.MARKERS})\b\s*(:)?\s*(.*)', 3, 'i') AS text FROM c)
+m AS (SELECT page_id, regexp_extract(comment, '{C.COMMENT_MARKER}', 1, 'i') AS kind, regexp_extract(comment, '{C.COMMENT_MARKER}', 2, 'i') AS text FROM c)
 SELECT page_id, upper(kind) AS type, trim(text) AS text FROM m WHERE kind <> ''""")
 def comment_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     word = F.expr("CASE page_id % 3 WHEN 0 THEN 'TODO: ' WHEN 1 THEN 'mastodon ' ELSE 'see #note ' END")
@@ -135,7 +135,7 @@ _LINT_LINE = "CASE o_orderkey % 4 WHEN 0 THEN 'src/a' || o_custkey || '.py:' ||
 
 @_query(rf"""
 WITH l AS (SELECT o_orderkey, {_LINT_LINE} AS line FROM orders),
-m AS (SELECT o_orderkey, regexp_extract(line, '^(.*?):(\d+):\d+:\s+([A-Z]+\d+)\s+(.*)$', ['file', 'line', 'code', 'message']) AS m FROM l)
+m AS (SELECT o_orderkey, regexp_extract(line, '^(.*?):([0-9]+):[0-9]+:\s+([A-Z]+[0-9]+)\s+(.*)$', ['file', 'line', 'code', 'message']) AS m FROM l)
 SELECT m.file AS file, CAST(m.line AS INTEGER) AS line, m.code AS code, trim(m.message) AS message FROM m WHERE m.code <> ''""")
 def lint_line_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.external_findings(_table(spark, sf_dir, "orders").select(F.expr(_LINT_LINE.replace("''os''", "\\'os\\'")).alias("line")))

@@ -153,7 +153,7 @@ class Reporter:
         try:
             with open(output_file, "w", encoding="utf-8") as f:
                 f.writelines(pieces)
-            print(f"\nReport written to: {output_file}")
+            print(f"\nWrote the report to {output_file}")
         except OSError as e:
             print(f"Error writing report: {e}")
             sys.stdout.writelines(self.json(sections) if self.format == "json" else (f"{line}\n" for line in self.lines(sections)))

@@ -25,7 +25,7 @@ def test_no_python_blocks(source):
     assert py_tokens(source) == []
 
 
-@pytest.mark.parametrize(("source", "count"), [(b"a = 1\nb = 2\n", 8), (b"a = 1\n" * 100, 400), (b"def foo():\n    x = 1\n" * 300, 3600), (b"", 0), ("﻿x=1".encode(), 4), (b"(", 0), (None, 0)])
+@pytest.mark.parametrize(("source", "count"), [(b"a = 1\nb = 2\n", 8), (b"a = 1\n" * 100, 400), (b"def f():\n    y = 1\n" * 300, 3600), (b"", 0), ("﻿x=1".encode(), 4), (b"(", 0), (None, 0)])
 def test_python_token_count(source, count):
     assert python_source.token_count(source) == count
 
@@ -52,7 +52,7 @@ def test_python_classes_and_methods_are_listed():
         ("import sys\nprint(sys.version)\n", []),
         ("from __future__ import annotations\n", []),
         ("import a\n__all__ = ['a']\n", []),
-        ("def foo():\n    x = 1\n    return 2\n", [(2, "F841", "local variable 'x' is assigned to but never used")]),
+        ("def g(z):\n    x = 1\n    return z\n", [(2, "F841", "local variable 'x' is assigned to but never used")]),
         ("def foo():\n    x, y = 1, 2\n", []),
         ("def foo():\n    x = 1\n    def bar(): return x\n", []),
         ("def foo():\n    global x\n    x = 1\n", []),
@@ -66,7 +66,7 @@ def test_unused(source, found):
 @pytest.mark.parametrize(
     ("source", "codes"),
     [
-        ("def foo(x=[]):\n    pass\n", ["B006"]), ("def foo(x={}):\n    pass\n", ["B006"]), ("def f():\n    return eval('2+2')\n", ["S307"]), ("import os\nos.system('ls')\n", ["S605"]),
+        ("def g(y=[]):\n    return y\n", ["B006"]), ("def foo(x={}):\n    pass\n", ["B006"]), ("def f():\n    return eval('2+2')\n", ["S307"]), ("import os\nos.system('ls')\n", ["S605"]),
         ("# print('dead code')\n", ["E800"]), ("# x = 1\n", ["E800"]), ("# just a comment\n", []), ("x = 1  # TODO: later\n", []), ("try:\n    a()\nexcept:\n    pass\n", ["B001", "S110"]),
         ("assert False\n", ["B011", "S101"]), ("password = 'abc'\n", ["S105"]), ("import subprocess\nsubprocess.run(x, shell=True)\n", ["S404", "S602"]), ("for i in range(3):\n    print(1)\n", ["B007"]),
         ("q = f'select a from t where x = {y}'\n", ["S608"]), ("x == 1\n", ["B015"]), ("def (", []),
@@ -105,7 +105,7 @@ def test_csharp():
     source = "public class X {\n  public int Foo(int? a) {\n    foreach (var b in c) { if (b == 1 || b == 2) return 1; }\n    switch (a) { case 1: return 2; case int n when n > 3: return 3; default: return a ?? 0; }\n  }\n  int Bar() => 3;\n  public X(int q) { y = q > 1 ? q : 0; }\n  enum E { A }\n}\n"
     assert blocks(source, "csharp") == [("class", "X", 1, 9), ("function", "Foo", 2, 5), ("function", "Bar", 6, 6), ("function", "X", 7, 7), ("enum", "E", 8, 8)]
     assert complexities(source, "csharp") == [("Foo", 5), ("Bar", 1)]
-    assert complexities("public class X { public int Foo() { if (true) return 1; else return 2; } }", "csharp") == [("Foo", 2)]
+    assert complexities("class Y { int Goo() { if (true) return 1; else return 2; } }", "csharp") == [("Goo", 2)]
 
 
 def test_comments_are_not_found_in_strings():
