@@ -26,14 +26,21 @@ PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|
 KEPT_WORDS = 500_000
 
 
-def merge(word: bytes, ranks: dict[bytes, int], below: int = 1 << 60) -> list[int]:
+_NONE = 1 << 60
+
+
+def merge(word: bytes, ranks: dict[bytes, int], below: int = _NONE) -> list[int]:
     """Exact merging: the adjacent pair of lowest rank, leftmost first, until none is left of rank under `below`."""
     parts = [word[i : i + 1] for i in range(len(word))]
-    while len(parts) > 1:
-        rank, at = min((ranks.get(a + b, 1 << 60), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
-        if rank >= below or rank == 1 << 60:
-            break
+    pairs = [ranks.get(word[i : i + 2], _NONE) for i in range(len(word) - 1)]
+    while pairs and (low := min(pairs)) < below:
+        at = pairs.index(low)
         parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        del pairs[at]
+        if at < len(pairs):
+            pairs[at] = ranks.get(parts[at] + parts[at + 1], _NONE)
+        if at:
+            pairs[at - 1] = ranks.get(parts[at - 1] + parts[at], _NONE)
     return [ranks[p] for p in parts]
 
 
