@@ -8,6 +8,9 @@ by the cosine of the float vectors.
 
 The index of a substring is dealt by its leading bits to cells; a code is looked up only in
 the cells that can hold something within reach.
+
+Where codes tell little apart, and for the k nearest of each vector, all pairs are compared: blocks of
+vectors meet pairwise, which is exact and takes time in proportion to the square of the vectors.
 """
 
 from __future__ import annotations
@@ -18,14 +21,20 @@ from math import ceil, log2
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from codeloom.llm import kernels as K
+
 #: Least cosine of a neighbour; Hamming radius; substrings of a code; vectors that the rotation is fitted on.
 MIN_COSINE, RADIUS, PARTS, SAMPLE_ROWS = 0.85, 15, 4, 4096
 #: Codes that a cell's index holds, about.
 CELL_CODES = 250_000
+#: Neighbours of each vector that k_nearest lists; float values in a block of vectors.
+NEAREST, BLOCK_VALUES = 10, 1 << 20
 _PROBES = 1 << 22
+_STRIP = 512
 
 
 def fit_rotation(vectors: np.ndarray, bits: int, rounds: int = 40, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -141,6 +150,110 @@ def _probe(layout: Layout, radius: int):
     return run
 
 
+def _spread(blocks: int, dtype: str):
+    """Deals vectors by hash of their ids to blocks, and each block to all pairs of blocks that it is in."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = batch.column("vec_id").to_numpy()
+            vectors = batch.column("embedding").flatten().to_numpy().reshape(len(ids), -1).astype(dtype)
+            block = (K.mix(ids.view(np.uint64)) % np.uint64(blocks)).astype(np.int64)
+            for b in np.unique(block).tolist():
+                mine = block == b
+                payload = ids[mine].tobytes() + vectors[mine].tobytes()
+                for j in range(blocks):
+                    yield pa.RecordBatch.from_arrays([pa.array([min(b, j) * blocks + max(b, j)], pa.int64()), pa.array([b], pa.int64()), pa.array([payload], pa.binary())], ["pair", "block", "payload"])
+
+    return run
+
+
+def nearest_in(ids: np.ndarray, units: np.ndarray, other_ids: np.ndarray, others: np.ndarray, k: int | None, min_cosine: float | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(ids, others' ids, cosines): for each of units the k nearest of others, or all from min_cosine on, without itself.
+    Cosines are rounded to 6 digits and equal ones go by id."""
+    wide = max(1, len(others) // 128)
+    whole = len(others) // wide * wide
+    for at in range(0, len(units), _STRIP):
+        cosine = units[at : at + _STRIP] @ others.T
+        mine = ids[at : at + _STRIP]
+        cosine[mine[:, None] == other_ids[None, :]] = -np.inf
+        least = np.full(len(mine), -2.0 if min_cosine is None else min_cosine)
+        if k is not None and whole // wide >= k:  # k groups have a value so high
+            most = cosine[:, :whole].reshape(len(mine), -1, wide).max(axis=2)
+            least = np.maximum(least, np.partition(most, most.shape[1] - k, axis=1)[:, -k])
+        row, column = np.nonzero(cosine >= (least - 2e-6)[:, None])
+        near = np.round(cosine[row, column], 6)
+        keep = np.isfinite(near) & (near >= (-2.0 if min_cosine is None else min_cosine))
+        row, column, near = row[keep], column[keep], near[keep]
+        if k is not None:
+            order = np.lexsort((other_ids[column], -near, row))
+            row, column, near = row[order], column[order], near[order]
+            first = np.arange(len(row)) - np.searchsorted(row, row) < k
+            row, column, near = row[first], column[first], near[first]
+        yield mine[row], other_ids[column], near
+
+
+def _meet(blocks: int, d: int, dtype: str, k: int | None, min_cosine: float | None):
+    def block(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        ids, vectors = [], []
+        for payload in rows.column("payload").to_pylist():
+            n = len(payload) // (8 + d * np.dtype(dtype).itemsize)
+            ids.append(np.frombuffer(payload, np.int64, n))
+            vectors.append(np.frombuffer(payload, dtype, n * d, 8 * n).reshape(n, d).astype(np.float64))
+        every = np.concatenate(vectors)
+        return np.concatenate(ids), every / np.linalg.norm(every, axis=1, keepdims=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for pair, rows in K.grouped(batches, "pair"):
+            sides = [block(part) for b in dict.fromkeys(divmod(pair, blocks)) if (part := rows.filter(pc.equal(rows.column("block"), b))).num_rows]
+            meetings = [(sides[0], sides[0])] if pair // blocks == pair % blocks else [(sides[0], sides[1]), (sides[1], sides[0])] if len(sides) == 2 else []
+            for left, right in meetings:
+                for a, b, cosine in nearest_in(*left, *right, k, min_cosine):
+                    if len(a):
+                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(cosine)], ["vec_id", "neighbour_id", "cosine"])
+
+    return run
+
+
+def _scan(clean: DataFrame, d: int, count: int, dtype: str, k: int | None = None, min_cosine: float | None = None) -> DataFrame:
+    """(vec_id, neighbour_id, cosine) of all pairs from min_cosine on, or at least the k nearest of each vector. Each block travels as often as there are blocks."""
+    K.bound_batches(clean.sparkSession)
+    blocks = max(1, ceil(count / max(256, BLOCK_VALUES // d)))
+    met = clean.mapInArrow(_spread(blocks, dtype), "pair long, block long, payload binary").repartition("pair").sortWithinPartitions("pair")
+    return met.mapInArrow(_meet(blocks, d, dtype, k, min_cosine), "vec_id long, neighbour_id long, cosine double")
+
+
+def _clean(vectors: DataFrame) -> tuple[DataFrame, int, int, str] | None:
+    """The vectors that count, one for each vec_id, their dimension, about how many they are, and the type that holds their values."""
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x))
+    rows = vectors.where("vec_id is not null and embedding is not null and size(embedding) > 0").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    rows = rows.where(~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))).where(norm > 0)
+    sizes = rows.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
+    if not sizes:
+        return None
+    d, count = sizes[0]["d"], sizes[0]["count"]
+    return rows.where(F.size("embedding") == d).groupBy("vec_id").agg(F.min("embedding").alias("embedding")), d, count, "f4" if dict(vectors.dtypes)["embedding"] == "array<float>" else "f8"
+
+
+def _ranked(near: DataFrame) -> DataFrame:
+    return near.withColumn("rank", F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc("cosine"), "neighbour_id")))
+
+
+_EMPTY = "vec_id long, neighbour_id long, cosine double, rank int"
+
+
+def k_nearest(vectors: DataFrame, k: int = NEAREST) -> DataFrame:
+    """(vec_id, neighbour_id, cosine, rank): for every vector its k nearest others by cosine, rounded to 6 digits, whatever
+    the cosine; equal ones go by neighbour_id. Exact: all pairs are compared. Rows count as in `neighbours`."""
+    if k < 1:
+        raise ValueError("k is at least 1")
+    found = _clean(vectors)
+    if not found:
+        return vectors.sparkSession.createDataFrame([], _EMPTY)
+    return _ranked(_scan(*found, k=k)).where(F.col("rank") <= k)
+
+
 def neighbours(vectors: DataFrame, min_cosine: float = MIN_COSINE, radius: int = RADIUS, parts: int = PARTS, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """(vec_id, neighbour_id, cosine, rank): for every vector all others whose code lies within the radius and
     whose cosine, rounded to 6 digits, is at least min_cosine, nearest first; equal ones go by neighbour_id.
@@ -150,14 +263,10 @@ def neighbours(vectors: DataFrame, min_cosine: float = MIN_COSINE, radius: int =
     value have no neighbours and are none; so are rows with a null vec_id. Of several rows of one vec_id the smallest
     vector counts. Other columns are ignored."""
     spark = vectors.sparkSession
-    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x))
-    rows = vectors.where("vec_id is not null and embedding is not null and size(embedding) > 0").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    rows = rows.where(~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))).where(norm > 0)
-    sizes = rows.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    if not sizes:
-        return spark.createDataFrame([], "vec_id long, neighbour_id long, cosine double, rank int")
-    d, count = sizes[0]["d"], sizes[0]["count"]
-    clean = rows.where(F.size("embedding") == d).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    found = _clean(vectors)
+    if not found:
+        return spark.createDataFrame([], _EMPTY)
+    clean, d, count, _ = found
     sample = np.array([r.embedding for r in clean.orderBy(F.md5(F.col("vec_id").cast("string"))).limit(sample_rows).collect()])
     bits = min(64, d)
     mean, projection = fit_rotation(sample / np.linalg.norm(sample, axis=1, keepdims=True), bits)
@@ -172,4 +281,4 @@ def neighbours(vectors: DataFrame, min_cosine: float = MIN_COSINE, radius: int =
     x, y = F.col("a_embedding"), F.col("b_embedding")
     scored = pairs.join(left, "a").join(right, "b").select("a", "b", F.round(dot(x, y) / (F.sqrt(dot(x, x)) * F.sqrt(dot(y, y))), 6).alias("cosine")).where(F.col("cosine") >= min_cosine)
     both = scored.select(F.col("a").alias("vec_id"), F.col("b").alias("neighbour_id"), "cosine").unionByName(scored.select(F.col("b").alias("vec_id"), F.col("a").alias("neighbour_id"), "cosine"))
-    return both.withColumn("rank", F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc("cosine"), "neighbour_id")))
+    return _ranked(both)

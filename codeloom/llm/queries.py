@@ -37,6 +37,11 @@ def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.neighbours(_table(spark, sf_dir, "embeddings"))
 
 
+@_query
+def op3_k_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.k_nearest(_table(spark, sf_dir, "embeddings"))
+
+
 @_query
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.tokenize(_table(spark, sf_dir, "documents"))
@@ -107,6 +112,14 @@ WITH pairs AS (
 SELECT *, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY cosine DESC, neighbour_id) AS INTEGER) AS rank
 FROM pairs WHERE cosine >= 0.85"""
 
+ORACLES["op3_k_nearest"] = """
+WITH pairs AS (
+  SELECT a.vec_id, b.vec_id AS neighbour_id,
+    round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS cosine
+  FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id)
+SELECT *, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY cosine DESC, neighbour_id) AS INTEGER) AS rank
+FROM pairs QUALIFY rank <= 10"""
+
 _DETECT = r"""
 WITH words AS (SELECT doc_id, lang, ' ' || unnest(regexp_extract_all(lower(text), '\p{L}+')) || ' ' AS w FROM documents WHERE text IS NOT NULL),
 places AS (SELECT doc_id, lang, w, unnest(range(1, length(w) + 1)) AS i FROM words),

@@ -69,3 +69,31 @@ def test_odd_rows(spark):
     c = round(2 / math.sqrt(4.01), 6)
     assert found == {(1, 11, 1.0, 1), (1, 2, c, 2), (11, 1, 1.0, 1), (11, 2, c, 2), (2, 1, c, 1), (2, 11, c, 2)}
     assert N.neighbours(df.where("false")).collect() == []
+
+
+@pytest.mark.parametrize(("n", "block"), [(700, 1 << 20), (700, 1), (6, 1)])
+def test_k_nearest_of_far_vectors_equal_brute_force(spark, monkeypatch, n, block):
+    monkeypatch.setattr(N, "BLOCK_VALUES", block)
+    x = np.random.default_rng(n).normal(size=(n, 64)).astype(np.float32)
+    x[5] = x[3] = x[1]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    s = np.round(u @ u.T, 6)
+    want = {(i, j, rank) for i in range(n) for rank, j in enumerate(sorted((j for j in range(n) if j != i), key=lambda j: (-s[i, j], j))[:10], 1)}
+    found = N.k_nearest(df).collect()
+    assert {(r.vec_id, r.neighbour_id, r["rank"]) for r in found} == want and len(found) == len(want)
+    assert all(abs(r.cosine - s[r.vec_id, r.neighbour_id]) < 1e-9 for r in found)
+    assert N.k_nearest(df.where("false")).collect() == []
+
+
+def test_the_registered_k_nearest_query_equals_its_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    from codeloom.llm import queries as Q
+
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.sql(f"create view embeddings as select * from '{sf}/embeddings.parquet'")
+    found = Q.QUERIES["op3_k_nearest"](spark, sf)
+    want = con.sql(Q.ORACLES["op3_k_nearest"])
+    assert sorted(map(tuple, found.collect())) == sorted(want.select(", ".join(found.columns)).fetchall())
+    assert found.select("vec_id").distinct().count() == con.sql("select count(*) from embeddings").fetchall()[0][0]
