@@ -33,23 +33,25 @@ MIN_COSINE, RADIUS, PARTS, SAMPLE_ROWS = 0.85, 15, 4, 4096
 CELL_CODES = 250_000
 #: Neighbours of each vector that k_nearest lists; float values in a block of vectors.
 NEAREST, BLOCK_VALUES = 10, 1 << 20
+#: Share of pairs within the radius beyond which comparing all pairs is cheaper than ranking those.
+MOST_PAIRS = 0.001
 _PROBES = 1 << 22
 _STRIP = 512
 
 
 def fit_rotation(vectors: np.ndarray, bits: int, rounds: int = 40, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """(mean, projection): principal axes, rotated so that signs lose as little as possible."""
-    mean = vectors.mean(axis=0)
-    _, _, axes = np.linalg.svd(vectors - mean, full_matrices=False)
+    """(mean, projection): principal axes, rotated so that signs lose as little as possible. Vectors aren't centred, so mean
+    is 0: codes have to tell angles at the origin, and about any other point the same pair has a wider one."""
+    _, _, axes = np.linalg.svd(vectors, full_matrices=False)
     if len(axes) < bits:
         axes = np.linalg.qr(np.c_[axes.T, np.random.default_rng(seed).normal(size=(vectors.shape[1], bits))])[0].T
     axes = axes[:bits].T
-    flat = (vectors - mean) @ axes
+    flat = vectors @ axes
     rotation = np.linalg.qr(np.random.default_rng(seed).normal(size=(bits, bits)))[0]
     for _ in range(rounds):
         u, _, v = np.linalg.svd(np.where(flat @ rotation >= 0, 1.0, -1.0).T @ flat)
         rotation = (u @ v).T
-    return mean, axes @ rotation
+    return np.zeros(vectors.shape[1]), axes @ rotation
 
 
 def codes_of(vectors: np.ndarray, mean: np.ndarray, projection: np.ndarray) -> np.ndarray:
@@ -58,6 +60,13 @@ def codes_of(vectors: np.ndarray, mean: np.ndarray, projection: np.ndarray) -> n
     return (bits * weight).sum(axis=1, dtype=np.uint64)
 
 
+def share_within(codes: np.ndarray, radius: int, most: int = 2048) -> float:
+    """The share of pairs of different rows, of the first `most`, whose codes lie within the radius."""
+    codes = codes[:most]
+    within = sum(int((np.bitwise_count(codes[i : i + 256, None] ^ codes[None, :]) <= radius).sum()) for i in range(0, len(codes), 256))
+    return (within - len(codes)) / max(1, len(codes) * (len(codes) - 1))
+
+
 def masks(width: int, most: int) -> list[np.ndarray]:
     """For each number of bits 0 .. most, all values of `width` bits with so many set."""
     return [np.array([sum(1 << b for b in c) for c in combinations(range(width), n)], np.int64) for n in range(most + 1)]
@@ -254,22 +263,30 @@ def k_nearest(vectors: DataFrame, k: int = NEAREST) -> DataFrame:
     return _ranked(_scan(*found, k=k)).where(F.col("rank") <= k)
 
 
-def neighbours(vectors: DataFrame, min_cosine: float = MIN_COSINE, radius: int = RADIUS, parts: int = PARTS, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def neighbours(vectors: DataFrame, min_cosine: float = MIN_COSINE, radius: int | None = None, parts: int = PARTS, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """(vec_id, neighbour_id, cosine, rank): for every vector all others whose code lies within the radius and
     whose cosine, rounded to 6 digits, is at least min_cosine, nearest first; equal ones go by neighbour_id.
 
-    With 64 bits and the defaults a pair at the least cosine lies within the radius with probability 0.9, and nearer
-    ones nearly always. Vectors that are null, empty, zero, of another length than most, or have a null or non-finite
+    Without a radius it is RADIUS, if codes select: where more than MOST_PAIRS of the sample's pairs lie within it, as where
+    vectors have a strong common direction, all pairs are compared instead and none is missed. With 64 bits and the defaults
+    0.18 of the bits of a pair at the least cosine differ on average over rotations, which is 11 of 64.
+
+    Vectors that are null, empty, zero, of another length than most, or have a null or non-finite
     value have no neighbours and are none; so are rows with a null vec_id. Of several rows of one vec_id the smallest
     vector counts. Other columns are ignored."""
     spark = vectors.sparkSession
     found = _clean(vectors)
     if not found:
         return spark.createDataFrame([], _EMPTY)
-    clean, d, count, _ = found
+    clean, d, count, dtype = found
     sample = np.array([r.embedding for r in clean.orderBy(F.md5(F.col("vec_id").cast("string"))).limit(sample_rows).collect()])
     bits = min(64, d)
-    mean, projection = fit_rotation(sample / np.linalg.norm(sample, axis=1, keepdims=True), bits)
+    sample /= np.linalg.norm(sample, axis=1, keepdims=True)
+    mean, projection = fit_rotation(sample, bits)
+    if radius is None:
+        radius = RADIUS
+        if share_within(codes_of(sample, mean, projection), min(radius, bits)) > MOST_PAIRS:
+            return _ranked(_scan(clean, d, count, dtype, min_cosine=min_cosine))
     layout = Layout(bits, min(parts, bits), min(radius, bits), count)
     pairs = (
         clean.mapInArrow(_deal(layout, mean, projection, "embedding"), "cell long, kind int, payload binary")

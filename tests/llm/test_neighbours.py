@@ -97,3 +97,35 @@ def test_the_registered_k_nearest_query_equals_its_sql(spark):
     want = con.sql(Q.ORACLES["op3_k_nearest"])
     assert sorted(map(tuple, found.collect())) == sorted(want.select(", ".join(found.columns)).fetchall())
     assert found.select("vec_id").distinct().count() == con.sql("select count(*) from embeddings").fetchall()[0][0]
+
+
+def off_centre(r, n, d, near, offset):
+    """Pairs spread down to the least cosine, of vectors with a common direction and unequal variances."""
+    scale = np.exp(-3 * np.arange(d) / d)
+    scale /= np.linalg.norm(scale)
+    common = r.normal(size=d)
+    base = r.normal(size=(n, d)) * scale + offset * common / np.linalg.norm(common)
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    other = r.normal(size=(n, d)) * scale
+    other -= (other * base).sum(axis=1, keepdims=True) * base
+    other /= np.linalg.norm(other, axis=1, keepdims=True)
+    angle = r.uniform(0, math.acos(near), n)[:, None]
+    return np.r_[base, base * np.cos(angle) + other * np.sin(angle)]
+
+
+@pytest.mark.parametrize("offset", [0.0, 0.5, 1.0, 2.0])
+@pytest.mark.parametrize("d", [64, 96])
+def test_codes_keep_pairs_of_vectors_with_a_common_direction(d, offset):
+    x = off_centre(np.random.default_rng(d), 1000, d, N.MIN_COSINE, offset)
+    codes = N.codes_of(x, *N.fit_rotation(x, 64))
+    near = np.triu(x @ x.T >= N.MIN_COSINE, 1)
+    assert (np.bitwise_count(codes[:, None] ^ codes[None, :])[near] <= N.RADIUS).mean() >= 0.9
+
+
+@pytest.mark.parametrize("radius", [None, N.RADIUS])
+def test_recall_with_a_common_direction(spark, radius):
+    x = off_centre(np.random.default_rng(3), 250, 64, N.MIN_COSINE, 1.5)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {(r.vec_id, r.neighbour_id) for r in N.neighbours(df, radius=radius).collect()}
+    want = brute(x, N.MIN_COSINE)
+    assert got <= want and len(got) >= (1 if radius is None else 0.9) * len(want) and len(want) >= 500
