@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from codeloom.llm.jaccard import checkpoint
 
-#: Bytes of text in a shard; groups that fill a shard, at least; hash cells of which groups are made.
-SHARD_BYTES, GROUPS_PER_SHARD, CELLS = 16 << 20, 24, 4096
+#: Bytes of text in a shard; groups that fill a shard, at least; hash cells of which groups are made, at least in all and for a group.
+SHARD_BYTES, GROUPS_PER_SHARD, CELLS, CELLS_PER_GROUP = 16 << 20, 24, 4096, 8
 
 
 def place(sizes: np.ndarray, shards: int) -> np.ndarray:
@@ -39,20 +39,23 @@ def place(sizes: np.ndarray, shards: int) -> np.ndarray:
 
 def shard(docs: DataFrame, shard_bytes: int = SHARD_BYTES, groups_per_shard: int = GROUPS_PER_SHARD, cells: int = CELLS) -> DataFrame:
     """(doc_id, source, shard) for each row of docs; shards are numbered from 0 and there are as many
-    as shard_bytes makes of all text.
+    as shard_bytes makes of all text. There are at least `cells` hash cells, and more where all shards' groups, which may be
+    of one source, need more.
 
     Tokens are words at ASCII white space. Null and empty texts weigh only as rows. A null
     source is a source of its own, a null doc_id hashes like a value. Repeated rows are
     counted and kept, in one shard. Groups of equal size go by source and number. Other columns are ignored."""
     if min(shard_bytes, groups_per_shard, cells) < 1:
         raise ValueError("shard_bytes, groups_per_shard and cells are at least 1")
+    all_bytes = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).collect()[0][0]
+    shards = max(1, -(-all_bytes // shard_bytes))
+    cells = max(cells, CELLS_PER_GROUP * groups_per_shard * shards)
     cell = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(cells))
     source = F.col("source").cast("string")
     measured = docs.select(source.alias("source"), cell.alias("cell"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("bytes"), F.expr(r"coalesce(regexp_count(text, '[^ \\t\\n\\r\\f\\x0b]+'), 0)").alias("tokens"))
     spark = docs.sparkSession
     cells_ = checkpoint(spark, measured.groupBy("source", "cell").agg(F.sum("bytes").alias("bytes"), F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("rows")))
     total = cells_.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("bytes", "tokens", "rows")]).collect()[0]
-    shards = max(1, -(-total["bytes"] // shard_bytes))
     of_source = Window.partitionBy("source")
     need = F.greatest(*[F.ceil(F.sum(c).over(of_source) * (shards * groups_per_shard / max(1, total[c]))) for c in ("bytes", "tokens", "rows")])
     grouped = cells_.withColumn("pieces", F.least(F.greatest(need, F.lit(1)), F.lit(cells))).withColumn("piece", F.floor(F.col("cell") * F.col("pieces") / cells))

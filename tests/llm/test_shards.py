@@ -46,3 +46,17 @@ def test_odd_rows(table, corpus):
 def test_empty_table(table):
     assert S.shard(table([])).collect() == []
     assert [r.shard for r in S.shard(table([(1, None), (2, "")])).collect()] == [0, 0]
+
+
+def test_a_source_is_cut_into_as_many_groups_as_its_shards_need(table):
+    rows = [(i, "word " * (1 + i % 40), "en", "hot") for i in range(6000)]
+    found = S.shard(table(rows), shard_bytes=sum(len(t) for _, t, *_ in rows) // 8 + 1, cells=12).collect()
+    loads = np.zeros(8)
+    for r in found:
+        loads[r.shard] += len(rows[r.doc_id][1])
+    assert len(found) == len(rows) and loads.max() / loads.mean() < 1.15 and loads.min() / loads.mean() > 0.85
+
+
+def test_a_source_fills_more_shards_than_there_are_least_cells(table):
+    found = S.shard(table([(i, "ab", "en", "hot") for i in range(12_000)]), shard_bytes=4, groups_per_shard=1)
+    assert found.count() == 12_000 and found.select("shard").distinct().count() > S.CELLS
