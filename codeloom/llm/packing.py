@@ -3,7 +3,8 @@
 Documents longer than a sequence fill whole sequences; what is left of them, and all shorter
 ones, go by best-fit decreasing: longest first, each into the fullest open bin that still has
 room. A segment tree over remaining capacities finds that bin in logarithmic time.
-Documents are dealt by hash to pools of bounded size that are packed independently, so the
+Best-fit decreasing needs only to know how many documents are of each size: it is run once, over
+all, on runs of bins with equal room. Documents then take the places of their size by rank, so the
 work is spread and the result doesn't depend on partitioning.
 """
 
@@ -13,12 +14,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeloom.llm import kernels as K
+from codeloom.llm.jaccard import checkpoint
 
-#: Words in a sequence; documents in a pool, on average.
+#: Words in a sequence; documents in a pool, formerly.
 CAPACITY, POOL_DOCS = 2048, 20_000
 
 
@@ -72,27 +73,65 @@ def best_fit_decreasing(sizes: list[int], capacity: int) -> tuple[list[int], lis
     return bins, offsets
 
 
-def _pack(capacity: int):
+def best_fit_runs(counts: dict[int, int], capacity: int) -> tuple[np.ndarray, int]:
+    """What best_fit_decreasing does with so many items of each size, as runs, and how many bins there are. A run (size, from, bin, step, each,
+    offset) has the items of that size from number `from` on: `each` of them go to bin `bin`, from `offset`, as many to bin + step, and so on."""
+    tree = Capacities(capacity)
+    stacks: list[list[tuple[int, int, int]]] = [[] for _ in range(capacity + 1)]  # runs of bins of equal room: (first, number, step), in the order of filling
+    runs, n = [], 0
+
+    def put(room: int, run: tuple[int, int, int]) -> None:
+        if room and run[1]:
+            stacks[room].append(run)
+            tree.put(room, 0)
+
+    for size in sorted((s for s, c in counts.items() if c), reverse=True):
+        done, count = 0, counts[size]
+        while done < count:
+            found = tree.take(size)
+            if found:
+                room = found[0]
+                first, many, step = stacks[room].pop()
+                each = room // size  # a bin that stays wide enough is the tightest, so it takes the next item too
+                wanted = min(many, -(-(count - done) // each))
+                put(room, (first, many - wanted, step))
+                first, step = first + (many - 1) * step, -step  # last put in, first taken out
+            else:
+                room, each, first, step = capacity, capacity // size, n, 1
+                wanted = -(-(count - done) // each)
+                n += wanted
+            runs.append((size, done, first, step, each, capacity - room))
+            items = min(count - done, wanted * each)
+            full = items // each
+            put(room - each * size, (first, full, step))
+            if items % each:
+                put(room - items % each * size, (first + full * step, 1, 1))
+            done += items
+    return np.array(runs, np.int64).reshape(-1, 6), n
+
+
+def _place(capacity: int, runs: np.ndarray, used: int, wholes: dict[int, int]):
+    """wholes: for each rest, the number of the first full bin of documents with that rest."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for pool, group in K.grouped(batches, "pool"):
-            ids, sizes = group.column("doc_id").to_numpy(), group.column("size").to_numpy()
-            order = np.lexsort((ids, -(sizes % capacity)))
-            ids, sizes = ids[order], sizes[order]
-            whole, rest = sizes // capacity, sizes % capacity
+        keys = runs[:, 0] << 44 | runs[:, 1]
+        by = np.argsort(keys)
+        for batch in batches:
+            ids, whole, rest, number, before = (batch.column(c).to_numpy() for c in ("doc_id", "whole", "rest", "number", "before"))
             some = np.flatnonzero(rest)
-            bins, offsets = best_fit_decreasing(rest[some].tolist(), capacity)
-            used = max(bins, default=-1) + 1
+            _, start, first, step, each, offset = runs[by[np.searchsorted(keys[by], rest[some] << 44 | number[some], "right") - 1]].T
+            at = number[some] - start
             full = np.repeat(np.arange(len(ids)), whole)
-            start = np.r_[0, np.cumsum(whole)[:-1]] if len(whole) else whole
-            piece = np.arange(len(full)) - start[full]
+            piece = np.arange(len(full)) - (np.cumsum(whole) - whole)[full]
+            base = used + np.array([wholes[r] for r in rest.tolist()], np.int64) + before
             columns = {
                 "doc_id": np.r_[ids[full], ids[some]],
                 "piece": np.r_[piece, whole[some]],
-                "bin": np.r_[used + np.arange(len(full)), np.array(bins, np.int64)],
-                "bin_offset": np.r_[np.zeros(len(full), np.int64), np.array(offsets, np.int64)],
+                "bin": np.r_[base[full] + piece, first + at // each * step],
+                "bin_offset": np.r_[np.zeros(len(full), np.int64), offset + at % each * rest[some]],
                 "length": np.r_[np.full(len(full), capacity), rest[some]],
             }
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(columns["doc_id"]), pool, np.int64)), *[pa.array(c.astype(np.int64)) for c in columns.values()]], ["pool", *columns])
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(columns["doc_id"]), np.int64)), *[pa.array(c.astype(np.int64)) for c in columns.values()]], ["pool", *columns])
 
     return run
 
@@ -103,10 +142,19 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, pool_docs: int = POOL_DOCS)
     at ASCII white space; each is placed exactly once and no bin holds more than capacity.
 
     Null, empty and blank texts have no words and no piece. Rows with a null doc_id are left
-    out. Repeated rows are packed each; equal sizes go by doc_id. Other columns are ignored."""
+    out. Repeated rows are packed each; equal sizes go by doc_id. Other columns are ignored. All documents are
+    of pool 0, however many there are; pool_docs is accepted and has no effect."""
     if capacity < 1 or pool_docs < 1:
         raise ValueError("capacity and pool_docs are at least 1")
     sized = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.expr(r"cast(regexp_count(text, '[^ \\t\\n\\r\\f\\x0b]+') as bigint)").alias("size")).where("size > 0")
-    pools = max(1, -(-docs.count() // pool_docs))
-    pooled = sized.withColumn("pool", F.pmod(F.xxhash64("doc_id"), F.lit(pools)))
-    return pooled.repartition("pool").sortWithinPartitions("pool").mapInArrow(_pack(capacity), "pool long, doc_id long, piece long, bin long, bin_offset long, length long")
+    measured = checkpoint(docs.sparkSession, sized.select("doc_id", F.expr(f"size div {capacity}").alias("whole"), F.expr(f"size % {capacity}").alias("rest")))
+    of_rest = {r.rest: r for r in measured.groupBy("rest").agg(F.count(F.lit(1)).alias("n"), F.sum("whole").alias("whole")).collect()}
+    runs, used = best_fit_runs({rest: r.n for rest, r in of_rest.items() if rest}, capacity)
+    wholes, full = {}, 0
+    for rest in sorted(of_rest, reverse=True):
+        wholes[rest] = full
+        full += of_rest[rest].whole
+    w = Window.partitionBy("rest").orderBy("doc_id", "whole")
+    before = F.coalesce(F.sum("whole").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = measured.withColumns({"number": F.row_number().over(w).cast("long") - 1, "before": before})
+    return ranked.mapInArrow(_place(capacity, runs, used, wholes), "pool long, doc_id long, piece long, bin long, bin_offset long, length long")

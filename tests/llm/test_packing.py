@@ -62,3 +62,30 @@ def test_result_does_not_depend_on_partitions(table, corpus):
 def test_empty_table(table):
     assert P.pack(table([])).collect() == []
     assert P.pack(table([(1, None), (2, " ")])).collect() == []
+
+
+@pytest.mark.parametrize("capacity", [1, 2, 7, 10, 64, 100, 2048])
+def test_runs_equal_best_fit_of_each_item(capacity):
+    r = random.Random(capacity)
+    for n in (0, 1, 5, 300, 5000):
+        sizes = sorted((min(r.randint(1, capacity), r.randint(1, capacity)) for _ in range(n)), reverse=True)
+        runs, used = P.best_fit_runs({s: sizes.count(s) for s in set(sizes)}, capacity)
+        got = {}
+        for size, start, first, step, each, offset in runs.tolist():
+            end = min([s for z, s, *_ in runs.tolist() if z == size and s > start], default=sizes.count(size))
+            for at in range(end - start):
+                got[size, start + at] = (first + at // each * step, offset + at % each * size)
+        bins, offsets = P.best_fit_decreasing(sizes, capacity)
+        assert [got[s, i - sizes.index(s)] for i, s in enumerate(sizes)] == list(zip(bins, offsets, strict=True))
+        assert used == max(bins, default=-1) + 1
+
+
+def test_many_documents_are_packed_as_one(table):
+    r = random.Random(9)
+    rows = [(i, "w " * r.randint(1, 130)) for i in range(400)]
+    found = P.pack(table(rows), 50, 20).collect()
+    sizes = sorted(((len(t.split()), i) for i, t in rows), key=lambda x: (-(x[0] % 50), x[1]))
+    rest = [(n % 50, i) for n, i in sizes if n % 50]
+    want = {(i, *at) for (_, i), at in zip(rest, brute([n for n, _ in rest], 50), strict=True)}
+    assert {(q.doc_id, q.bin, q.bin_offset) for q in found if q.length < 50} == want
+    assert {q.pool for q in found} == {0} and len({q.bin for q in found}) == max(q.bin for q in found) + 1
