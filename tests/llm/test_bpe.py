@@ -29,6 +29,44 @@ def test_equals_exact_merging(texts, name):
     assert e.decode(out).to_pylist() == texts
 
 
+def test_splitting_equals_the_pattern(texts):
+    import numpy as np
+    import regex
+
+    r = random.Random(8)
+    made = ["".join(r.choice(["a", "l", "s", "ve", "'", "'", " ", "  ", "\n", "\t", "1", "²", "!", ".", "é", "日", "\u3000", "\x1c", "\xa0", "🎉", "ſ"]) for _ in range(r.randrange(12))) for _ in range(3000)]
+    made += [t for t in texts if t is not None]
+    raw = [t.encode() for t in made]
+    data = np.frombuffer(b"".join(raw), np.uint8)
+    offsets = np.r_[0, np.cumsum([len(t) for t in raw])]
+    starts, ends = B.split(data, offsets)
+    want = [w.encode() for t in made for w in regex.findall(B.PATTERN, t)]
+    assert [data[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)] == want
+    assert B.split(data[:0], offsets[:1])[0].tolist() == []
+
+
+def test_words_of_one_hash_are_told_apart(texts, monkeypatch):
+    import numpy as np
+
+    want = B.encoder().encode(pa.array(texts, pa.string()))
+    monkeypatch.setattr(B.K, "span_hashes", lambda data, starts, ends: (ends - starts).astype(np.uint64) % np.uint64(5))
+    assert B.Encoder(B.VOCABULARY).encode(pa.array(texts, pa.string())).equals(want)
+
+
+def test_lockstep_merging_equals_plain_merging():
+    e, r = B.encoder(), random.Random(4)
+    words = [bytes(r.choice(b"abetino rs=\xc3\xa9") for _ in range(r.randrange(1, 70))) for _ in range(2000)]
+    tokens, of = e.merged_words(words)
+    assert [tokens[of == i].tolist() for i in range(len(words))] == [B.merge(w, e.ranks) for w in words]
+
+
+def test_text_that_is_not_utf8(spark):
+    df = spark.sql("select doc_id, cast(t as string) as text from values (1, X'61FF62'), (2, X'6162'), (3, X'C3') as v(doc_id, t)")
+    plain = B.encoder().encode(pa.array(["a\ufffdb", "ab", "\ufffd"])).to_pylist()
+    found = {q.doc_id: (q.tokens, q.round_trip) for q in B.tokenize(df).collect()}
+    assert found == {1: (plain[0], False), 2: (plain[1], True), 3: (plain[2], False)}
+
+
 def test_compatibility_is_that_of_merging():
     e = B.encoder()
     r = random.Random(1)
