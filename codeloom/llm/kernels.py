@@ -120,20 +120,21 @@ def sliding_min(a: np.ndarray, width: int) -> np.ndarray:
     return m
 
 
-def grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[object, pa.Table]]:
-    """Consecutive rows with one value of `key`, across batches; the input is sorted by it."""
+def grouped(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[tuple[tuple, pa.Table]]:
+    """Consecutive rows with equal values of `keys`, whole numbers, across batches; the input is sorted by them."""
     held: list[pa.RecordBatch] = []
-    held_key: object = None
+    held_key: tuple = ()
     for batch in batches:
         if not batch.num_rows:
             continue
-        k = batch.column(key).to_numpy(zero_copy_only=False)
-        cuts = [0, *(np.flatnonzero(k[1:] != k[:-1]) + 1).tolist(), len(k)]
+        k = np.stack([batch.column(key).to_numpy(zero_copy_only=False) for key in keys])
+        cuts = [0, *(np.flatnonzero((k[:, 1:] != k[:, :-1]).any(axis=0)) + 1).tolist(), k.shape[1]]
         for a, b in zip(cuts, cuts[1:], strict=False):
-            if held and k[a] != held_key:
+            own = tuple(k[:, a].tolist())
+            if held and own != held_key:
                 yield held_key, pa.Table.from_batches(held)
                 held = []
-            held_key = k[a]
+            held_key = own
             held.append(batch.slice(a, b - a))
     if held:
         yield held_key, pa.Table.from_batches(held)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeloom.llm.jaccard import checkpoint
+from codeloom.llm.tables import checkpoint
 
 #: Words in a sequence; documents in a pool, formerly.
 CAPACITY, POOL_DOCS = 2048, 20_000

@@ -75,13 +75,13 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.jaccard_pairs(_table(spark, sf_dir, "documents"))
+    return jaccard.links(_table(spark, sf_dir, "documents"))
 
 
 WORDS = r"list_filter(regexp_split_to_array({}, '[ \t\n\r\f\x0b]+'), lambda x: x <> '')"
 
 ORACLES["op10_ngram_jaccard_join"] = f"""
-WITH d AS (SELECT doc_id, {WORDS.format("lower(text)")} AS w FROM documents WHERE doc_id IS NOT NULL),
+WITH RECURSIVE d AS (SELECT doc_id, {WORDS.format("lower(text)")} AS w FROM documents WHERE doc_id IS NOT NULL),
 grams AS (
   SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
     ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS g
@@ -90,10 +90,16 @@ sets AS (SELECT doc_id, count(*) AS n, md5(string_agg(g, chr(10) ORDER BY g)) AS
 reps AS (SELECT *, min(doc_id) OVER (PARTITION BY s) AS rep FROM sets),
 own AS (SELECT grams.doc_id, n, g FROM grams JOIN reps ON grams.doc_id = reps.doc_id WHERE reps.doc_id = rep),
 near AS (
-  SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) / (any_value(a.n) + any_value(b.n) - count(*)) AS jaccard
-  FROM own a JOIN own b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2)
-SELECT doc_a, doc_b, CAST(jaccard AS DOUBLE) AS jaccard FROM near WHERE jaccard >= 0.5
-UNION ALL SELECT rep, doc_id, CAST(1.0 AS DOUBLE) FROM reps WHERE rep <> doc_id"""
+  SELECT a.doc_id AS a, b.doc_id AS b
+  FROM own a JOIN own b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2
+  HAVING count(*) / (any_value(a.n) + any_value(b.n) - count(*)) >= 0.5),
+copies AS (SELECT rep, count(*) AS c FROM reps GROUP BY rep),
+partners AS (SELECT a, sum(c) AS c FROM near JOIN copies ON rep = b GROUP BY a),
+reach AS (SELECT rep AS a, rep AS b FROM copies UNION SELECT reach.a, near.b FROM reach JOIN near ON reach.b = near.a),
+class AS (SELECT a, min(b) AS class_id FROM reach GROUP BY a)
+SELECT doc_id, coalesce(class_id, doc_id) AS class_id, CAST(coalesce(copies.c - 1 + coalesce(partners.c, 0), 0) AS BIGINT) AS links
+FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL) LEFT JOIN reps USING (doc_id)
+LEFT JOIN copies USING (rep) LEFT JOIN partners ON partners.a = rep LEFT JOIN class ON class.a = rep"""
 
 ORACLES["op1_substring_dedup"] = f"""
 WITH d AS (SELECT doc_id, {WORDS.format("text")} AS w FROM documents WHERE doc_id IS NOT NULL),

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeloom.llm.jaccard import checkpoint
+from codeloom.llm.tables import checkpoint
 
 #: Bytes of text in a shard; groups that fill a shard, at least; hash cells of which groups are made, at least in all and for a group.
 SHARD_BYTES, GROUPS_PER_SHARD, CELLS, CELLS_PER_GROUP = 16 << 20, 24, 4096, 8
