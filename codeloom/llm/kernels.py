@@ -107,6 +107,16 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((sums[ends] - sums[starts]) * _power(_BACK, n + 1)[starts])
 
 
+def rolling(a: np.ndarray, width: int) -> np.ndarray:
+    """A 64-bit hash of a[i : i + width] for every i with a full window, equal for equal values wherever they stand."""
+    n = len(a)
+    if n < width:
+        return a[:0].astype(np.uint64)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(a * _power(_STEP, n), out=sums[1:])
+    return mix((sums[width:] - sums[: n - width + 1]) * _power(_BACK, n + 1)[: n - width + 1])
+
+
 def sliding_min(a: np.ndarray, width: int) -> np.ndarray:
     """min(a[i : i + width]) for every i with a full window, by doubling."""
     if len(a) < width:

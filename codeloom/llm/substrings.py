@@ -5,7 +5,12 @@ words. Consecutive windows with one minimiser (about (k - m) / 2 of them) travel
 string, a super-k-mer, to the bucket of that minimiser; equal windows have equal minimisers,
 so they meet there. Super-k-mers of one bucket and batch are packed and compressed together.
 In its bucket a minimiser that came once, from one place, is dropped unread; for the others
-the windows themselves are sorted and counted, as bytes, so the counts are exact.
+the windows themselves are sorted and counted, as bytes, so the counts are exact. There are as many buckets as
+the texts' bytes need, so that what a task holds doesn't grow with the input.
+
+A minimiser may be hot: a passage that a third of all documents have, or one word repeated for megabytes. The bytes of each
+minimiser are added up first. Windows of hot ones don't meet in a bucket; Spark counts them by a hash of 128 bits, in
+part before the shuffle.
 """
 
 from __future__ import annotations
@@ -19,8 +24,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.llm import kernels as K
+from codeloom.llm.tables import bitmap, checkpoint, in_bitmap, split_by
 
 WORDS, MINIMISER = 50, 4
+#: Bytes of text for each bucket; bytes of super-k-mers from which a minimiser is hot.
+BUCKET_BYTES, HOT_BYTES = 16 << 20, 4 << 20
 _CODEC = "zstd"
 _FLUSH = 16 << 20
 _C = np.uint64(0x9E3779B97F4A7C15)
@@ -69,7 +77,45 @@ def super_kmers(data: np.ndarray, offsets: np.ndarray, k: int, m: int) -> tuple[
     return doc[head], head - first[doc[head]], least[head], several, starts[head], ends[head + many + k - 2]
 
 
-def _scatter(k: int, m: int, buckets: int):
+def _weights(k: int, m: int):
+    """(minimiser, bytes) of the super-k-mers of each piece of text, added up there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in K.pieces(batches, "text", 1 << 20):
+            data, offsets = one_space(*K.flat(piece.column("text")))
+            _, _, minimiser, _, begin, end = super_kmers(data, offsets, k, m)
+            values, at = np.unique(minimiser, return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(np.bincount(at, end - begin, len(values)).astype(np.int64))], ["minimiser", "bytes"])
+
+    return run
+
+
+def _hot_windows(k: int, m: int, hot: np.ndarray):
+    """(key, doc_id, start, h1, h2): each window of a hot minimiser, with its hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in K.pieces(batches, "text"):
+            data, offsets = one_space(*K.flat(piece.column("text")))
+            doc, start, minimiser, _, begin, end = super_kmers(data, offsets, k, m)
+            some = np.flatnonzero(in_bitmap(hot, minimiser)) if len(doc) else []
+            if not len(some):
+                continue
+            starts, ends, first = K.words(data, offsets)
+            h = K.span_hashes(data, starts, ends)
+            h1, h2 = K.rolling(h, k), K.rolling(K.mix(h ^ _C), k)
+            head = first[doc[some]] + start[some]
+            many = np.searchsorted(starts, end[some]) - head - k + 1
+            for a in range(0, len(some), 1 << 14):  # a window is many bytes of text
+                n = many[a : a + (1 << 14)]
+                at = np.repeat(head[a : a + (1 << 14)] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                of = np.repeat(doc[some[a : a + (1 << 14)]], n)
+                columns = (piece.column("key").to_numpy()[of], piece.column("doc_id").to_numpy()[of], (at - first[of]).astype(np.int32), h1[at].view(np.int64), h2[at].view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "doc_id", "start", "h1", "h2"])
+
+    return run
+
+
+def _scatter(k: int, m: int, buckets: int, hot: np.ndarray | None):
     def flush(held: dict[int, list[tuple[bytes, ...]]]) -> pa.RecordBatch:
         rows = []
         for parts in held.values():
@@ -90,6 +136,10 @@ def _scatter(k: int, m: int, buckets: int):
             keys, ids = piece.column("key").to_numpy()[doc], piece.column("doc_id").to_numpy()[doc]
             bucket = (K.mix(minimiser) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
+            if hot is not None:
+                order = order[~in_bitmap(hot, minimiser[order])]
+                if not len(order):
+                    continue
             raw = data.tobytes()
             cuts = np.r_[0, np.flatnonzero(np.diff(bucket[order])) + 1, len(order)]
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
@@ -182,27 +232,39 @@ def _count(k: int):
     return run
 
 
-def repeated_windows(docs: DataFrame, k: int = WORDS, m: int = MINIMISER) -> DataFrame:
+def repeated_windows(docs: DataFrame, k: int = WORDS, m: int = MINIMISER, bucket_bytes: int = BUCKET_BYTES, hot_bytes: int = HOT_BYTES) -> DataFrame:
     """Runs (doc_id, key, start, windows, copies, is_first) of consecutive windows of k words that
     occur at least twice in the corpus, in one document or in several. key is xxhash64(doc_id, text).
     Of equal windows the one of the smallest (doc_id, key, start) is the first.
 
-    Words are split at ASCII white space and compared byte by byte. Texts of fewer than k words,
+    Words are split at ASCII white space and compared byte by byte (windows of hot minimisers by 128 bits of hash). Texts of fewer than k words,
     null and empty ones have no windows. Rows with a null doc_id are left out; rows equal in
-    doc_id and text are one document. Other columns are ignored."""
+    doc_id and text are one document. Ids are whole numbers or can be cast to such. Other columns are ignored."""
     if not 0 < m <= k:
         raise ValueError("m is in 1 .. k")
-    K.bound_batches(docs.sparkSession)
-    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = docs.sparkSession
+    K.bound_batches(spark)
     base = docs.where("doc_id is not null and text is not null").select(F.xxhash64(F.col("doc_id").cast("long"), "text").alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return base.mapInArrow(_scatter(k, m, buckets), "bucket int, payload binary").groupBy("bucket").applyInArrow(_count(k), "doc_id long, key long, start int, windows int, copies long, is_first boolean")
-
-
-def repeated_passages(docs: DataFrame, k: int = WORDS, m: int = MINIMISER) -> DataFrame:
+    total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).collect()[0][0]
+    weights = base.select("text").mapInArrow(_weights(k, m), "minimiser long, bytes long").groupBy("minimiser").agg(F.sum("bytes").alias("bytes"))
+    heavy = checkpoint(spark, weights.where(F.col("bytes") > hot_bytes).select("minimiser"))
+    hot = bitmap(heavy) if not heavy.isEmpty() else None
+    schema = "doc_id long, key long, start int, windows int, copies long, is_first boolean"
+    buckets = max(1, -(-total // bucket_bytes))
+    counted = base.mapInArrow(_scatter(k, m, buckets, hot), "bucket int, payload binary").groupBy("bucket").applyInArrow(_count(k), schema)
+    if hot is None:
+        return counted
+    windows = base.mapInArrow(_hot_windows(k, m, hot), "key long, doc_id long, start int, h1 long, h2 long").distinct()  # repeated rows are one document
+    often = checkpoint(spark, windows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "key", "start")).alias("lead")).where("copies > 1"))
+    is_first = (F.col("doc_id") == F.col("lead.doc_id")) & (F.col("key") == F.col("lead.key")) & (F.col("start") == F.col("lead.start"))
+    return counted.unionByName(windows.join(often, ["h1", "h2"]).select("doc_id", "key", "start", F.lit(1).alias("windows"), "copies", is_first.alias("is_first")))
+
+
+def repeated_passages(docs: DataFrame, k: int = WORDS, m: int = MINIMISER, bucket_bytes: int = BUCKET_BYTES, hot_bytes: int = HOT_BYTES) -> DataFrame:
     """(doc_id, start_word, end_word, copies): maximal runs of repeated windows, as words
     start_word .. end_word - 1 of the document; copies is the most often any of the windows occurs.
     First occurrences are listed like the others. For nulls and empty texts see `repeated_windows`."""
-    runs = repeated_windows(docs, k, m)
+    runs = repeated_windows(docs, k, m, bucket_bytes, hot_bytes)
     w = Window.partitionBy("doc_id", "key").orderBy("start")
     new = F.coalesce((F.col("start") != F.lag(F.col("start") + F.col("windows")).over(w)).cast("int"), F.lit(1))
     islands = runs.withColumn("new", new).withColumn("island", F.sum("new").over(w))
@@ -230,17 +292,19 @@ def _cut(k: int):
     return cut
 
 
-def without_repeats(docs: DataFrame, k: int = WORDS, m: int = MINIMISER) -> DataFrame:
+def without_repeats(docs: DataFrame, k: int = WORDS, m: int = MINIMISER, bucket_bytes: int = BUCKET_BYTES, hot_bytes: int = HOT_BYTES) -> DataFrame:
     """docs with the words of repeated windows taken out, but for the first occurrence of each window;
     n_chars, where there is such a column, is set anew. A document of which no word is left goes.
-    Rows with null doc_id or null text, and all other columns, stay as they are."""
-    key = "__codeloom_key"
-    mine = repeated_windows(docs, k, m).where("not is_first").groupBy(F.col("key").alias(key)).agg(F.collect_list(F.struct("start", "windows")).alias("__codeloom_runs"))
+    Rows with null doc_id or null text, and all other columns, stay as they are. Only texts that may have something to cut are shuffled."""
+    key, runs, new = "__codeloom_key", "__codeloom_runs", "__codeloom_text"
+    later = repeated_windows(docs, k, m, bucket_bytes, hot_bytes).where("not is_first")
+    mine = checkpoint(docs.sparkSession, later.groupBy(F.col("key").alias(key)).agg(F.collect_list(F.struct("start", "windows")).alias(runs)))
     keyed = docs.withColumn(key, F.when(F.col("doc_id").isNotNull() & F.col("text").isNotNull(), F.xxhash64(F.col("doc_id").cast("long"), "text")))
-    text = F.when(F.col("__codeloom_runs").isNotNull(), F.col("text"))
-    joined = keyed.join(mine, key, "left").withColumn("__codeloom_text", _cut(k)(text, F.col("__codeloom_runs")))
-    kept = joined.where(F.col("__codeloom_text").isNull() | F.col("__codeloom_text").rlike(r"[^ \t\n\r\f\x0b]"))
-    out = kept.withColumn("text", F.coalesce("__codeloom_text", "text"))
+    maybe, never = split_by(keyed, key, mine.select(key))
+    text = F.when(F.col(runs).isNotNull(), F.col("text"))
+    joined = maybe.join(mine, key, "left").withColumn(new, _cut(k)(text, F.col(runs)))
+    out = joined.where(F.col(new).isNull() | F.col(new).rlike(r"[^ \t\n\r\f\x0b]")).withColumn("text", F.coalesce(new, "text"))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__codeloom_text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+        out = out.withColumn("n_chars", F.when(F.col(new).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return out.select(*columns).unionByName(never.select(*columns))

@@ -88,6 +88,32 @@ def may_be_in(keys: DataFrame, column: Column) -> Column:
     return F.arrow_udf(run, "boolean")(*[F.when(key.isNotNull(), p) for p in _places(key, bits)])
 
 
+def bitmap(keys: DataFrame, most_bits: int = MOST_BITS) -> np.ndarray:
+    """A packed bitmap of a bounded number of bits in which bit `mix(key) % bits` is set for each key, whole numbers, of a table of one column."""
+    from codeloom.llm import kernels as K
+
+    bits = max(_WORD, min(most_bits, 1 << (64 * keys.count()).bit_length()))
+
+    def place(batches):
+        for batch in batches:
+            at = (K.mix(batch.column(0).to_numpy().view(np.uint64)) % np.uint64(bits)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(at // _WORD), pa.array(at % _WORD)], ["word", "at"])
+
+    rows = keys.mapInArrow(place, "word long, at long").groupBy("word").agg(F.bitmap_construct_agg("at").alias("bits")).toArrow()
+    packed = np.zeros(bits // 8, np.uint8)
+    for word, value in zip(rows.column("word").to_pylist(), rows.column("bits").to_pylist(), strict=True):
+        packed[word * _WORD // 8 :][: len(value)] = np.frombuffer(value, np.uint8)
+    return packed
+
+
+def in_bitmap(packed: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether each key may have been among those of the bitmap."""
+    from codeloom.llm import kernels as K
+
+    at = (K.mix(keys) % np.uint64(len(packed) * 8)).astype(np.int64)
+    return (packed[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+
+
 def split_by(rows: DataFrame, column: str, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The rows that may have one of the keys, and the others; only the first need take part in a join."""
     may = may_be_in(keys, F.col(column))

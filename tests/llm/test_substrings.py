@@ -37,6 +37,21 @@ def test_passages_equal_brute_force(table, corpus, k, m):
     assert sorted((r.doc_id, r.start_word, r.end_word, r.copies) for r in found) == brute_passages(rows, k)
 
 
+@pytest.mark.parametrize("hot_bytes", [0, 300, 3000])
+def test_hot_minimisers_and_small_buckets_change_nothing(table, corpus, hot_bytes):
+    rows = [*corpus, (701, "z " * 60), (702, "a\tb\n c  d " * 15)]
+    found = S.repeated_passages(table(rows), 50, 4, 500, hot_bytes).collect()
+    assert sorted((r.doc_id, r.start_word, r.end_word, r.copies) for r in found) == brute_passages(rows, 50)
+    plain, split = (sorted(map(tuple, S.without_repeats(table(rows), 50, 4, 1 << 24, hot).collect()), key=repr) for hot in (1 << 24, hot_bytes))
+    assert plain == split
+
+
+def test_one_word_repeated_for_megabytes(table):
+    n = 2_000_000
+    found = S.repeated_passages(table([(1, "word " * n), (2, "other")])).collect()
+    assert [(r.doc_id, r.start_word, r.end_word, r.copies) for r in found] == [(1, 0, n, n - 49)]
+
+
 def test_only_later_occurrences_are_cut(spark, table):
     p = " ".join(f"p{i}" for i in range(60))
     rows = [(1, f"a b\n{p} c"), (2, f"d {p}\ne f"), (3, p), (4, "g h"), (5, None), (None, p), (6, ""), (7, "g h")]
