@@ -17,10 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeloom.llm.tables import checkpoint
+from codeloom.llm.tables import checkpoint, discard
 
-#: Words in a sequence; documents that are ranked in one task, about, of each size.
-CAPACITY, SLICE_DOCS = 2048, 1 << 20
+#: Words in a sequence; documents in a range of doc_id, about, in which those of one size are ranked by one task.
+CAPACITY, SLICE_DOCS = 2048, 1 << 17
 
 
 class Capacities:
@@ -142,13 +142,13 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, slice_docs: int = SLICE_DOCS
     at ASCII white space; each is placed exactly once and no bin holds more than capacity. pool is 0.
 
     Null, empty and blank texts have no words and no piece. Rows with a null doc_id are left
-    out. Repeated rows are packed each; equal sizes go by a hash of doc_id, then doc_id, so that documents of one size, however
-    many, are ranked in slices of about slice_docs documents. Ids are whole numbers or can be cast to such. Other columns are ignored."""
+    out. Repeated rows are packed each; equal sizes go by doc_id. Documents of one size, however many, are ranked in ranges of doc_id
+    of about slice_docs documents. Ids are whole numbers or can be cast to such. Other columns are ignored."""
     if capacity < 1 or slice_docs < 1:
         raise ValueError("capacity and slice_docs are at least 1")
     spark = docs.sparkSession
     sized = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.expr(r"cast(regexp_count(text, '[^ \\t\\n\\r\\f\\x0b]+') as bigint)").alias("size")).where("size > 0")
-    measured = checkpoint(spark, sized.select("doc_id", F.expr(f"size div {capacity}").alias("whole"), F.expr(f"size % {capacity}").alias("rest"), F.shiftrightunsigned(F.xxhash64("doc_id"), 1).alias("h")))
+    measured = checkpoint(spark, sized.select("doc_id", F.expr(f"size div {capacity}").alias("whole"), F.expr(f"size % {capacity}").alias("rest")))
     of_rest = {r.rest: r for r in measured.groupBy("rest").agg(F.count(F.lit(1)).alias("n"), F.sum("whole").alias("whole")).collect()}  # at most `capacity` rows
     runs, used = best_fit_runs({rest: r.n for rest, r in of_rest.items() if rest}, capacity)
     wholes, full = {}, 0
@@ -156,10 +156,11 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, slice_docs: int = SLICE_DOCS
         wholes[rest] = full
         full += of_rest[rest].whole
     slices = max(1, -(-sum(r.n for r in of_rest.values()) // slice_docs))
-    sliced = measured.withColumn("slice", F.floor(F.col("h") / (2.0**63 / slices)))  # runs of hashes, so that the order doesn't depend on the number of slices
+    sliced = checkpoint(spark, measured.repartitionByRange(slices, "doc_id").withColumn("slice", F.spark_partition_id()))
+    discard(measured)
     each = Window.partitionBy("rest").orderBy("slice")
     earlier = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = sliced.groupBy("rest", "slice").agg(F.count(F.lit(1)).alias("n"), F.sum("whole").alias("w")).select("rest", "slice", earlier("n", each).alias("from_n"), earlier("w", each).alias("from_w"))
-    w = Window.partitionBy("rest", "slice").orderBy("h", "doc_id", "whole")
+    w = Window.partitionBy("rest", "slice").orderBy("doc_id", "whole")
     ranked = sliced.join(starts, ["rest", "slice"]).withColumns({"number": F.row_number().over(w).cast("long") - 1 + F.col("from_n"), "before": earlier("whole", w) + F.col("from_w")})
     return ranked.select("doc_id", "whole", "rest", "number", "before").mapInArrow(_place(capacity, runs, used, wholes), "pool long, doc_id long, piece long, bin long, bin_offset long, length long")
