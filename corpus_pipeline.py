@@ -47,7 +47,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The places of all documents in sequences of 2048 words: (pool, bin, bin_offset, doc_id, piece, length).
 
-    Texts without words and rows with a null doc_id have no place; repeated rows have one each; equal sizes go by a hash of doc_id, then doc_id."""
+    Texts without words and rows with a null doc_id have no place; repeated rows have one each; equal sizes go by doc_id."""
     return packing.pack(docs)
 
 
