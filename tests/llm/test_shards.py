@@ -60,3 +60,19 @@ def test_a_source_is_cut_into_as_many_groups_as_its_shards_need(table):
 def test_a_source_fills_more_shards_than_there_are_least_cells(table):
     found = S.shard(table([(i, "ab", "en", "hot") for i in range(12_000)]), shard_bytes=4, groups_per_shard=1)
     assert found.count() == 12_000 and found.select("shard").distinct().count() > S.CELLS
+
+
+def test_many_shards_are_placed_in_ranges(table):
+    rows = [(i, "word " * (1 + i % 40), "en", "hot" if i % 3 else f"s{i % 7}") for i in range(6000)]
+    found = S.shard(table(rows), shard_bytes=sum(len(t) for _, t, *_ in rows) // 30 + 1, groups_per_shard=12, most=7).collect()
+    loads = np.zeros(30)
+    for r in found:
+        loads[r.shard] += len(rows[r.doc_id][1])
+    assert len(found) == len(rows) and loads.max() / loads.mean() < 1.3 and loads.min() / loads.mean() > 0.7
+
+
+def test_placing_time_of_many_shards(table):
+    """10,000 shards of one source, none fuller than its share by more than a group."""
+    rows = [(i, "ab" * 5, "en", "hot") for i in range(60_000)]
+    found = S.shard(table(rows, extra=False), shard_bytes=60, groups_per_shard=6).groupBy("shard").count().collect()
+    assert len(found) == 10_000 and max(r["count"] for r in found) <= 24 and sum(r["count"] for r in found) == 60_000
