@@ -19,6 +19,17 @@ def test_parts(spark, url, parts):
     assert tuple(r) == parts
 
 
+def test_suffix_rules(spark):
+    from pyspark.sql import functions as F
+
+    rules = H.read_suffixes(["// comment", "", "com", "co.uk", "*.ck", "!www.ck", "a.b.c"])
+    assert rules == ("co.uk", "*.ck", "!www.ck", "a.b.c")
+    want = {"x.y.co.uk": ("y.co.uk", "co.uk"), "p.q.r.ck": ("q.r.ck", "r.ck"), "z.www.ck": ("www.ck", "ck"), "www.ck": ("www.ck", "ck"), "r.ck": ("r.ck", "r.ck"), "ck": ("ck", "ck"), "s.t.a.b.c": ("t.a.b.c", "a.b.c"), "b.c": ("b.c", "c"), "m.n.com": ("n.com", "com")}
+    parts = H.host_parts(F.col("url"), rules)
+    found = spark.createDataFrame([(f"http://{h}/",) for h in want], "url string").select(parts["host"].alias("h"), parts["domain"].alias("d"), parts["suffix"].alias("s")).collect()
+    assert {r.h: (r.d, r.s) for r in found} == want
+
+
 def brute(pages, labels):
     """Rates by host, with loops."""
     bad = {}
