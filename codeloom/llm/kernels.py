@@ -23,6 +23,7 @@ _rng = np.random.Generator(np.random.PCG64(20240607))
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = 0x9E3779B97F4A7C15
 _BACK = pow(_STEP, -1, 2**64)
+_BLOCK = 1 << 19
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -67,6 +68,7 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 19)
             j = max(i + 1, int(np.searchsorted(ends, before + most, "right")))
             yield batch.slice(i, j - i)
             i = j
+    pa.default_memory_pool().release_unused()  # workers are reused and stay
 
 
 def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -100,11 +102,20 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of bytes, equal for equal bytes wherever they stand."""
-    n = len(data)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[data] * _power(_STEP, n), out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * _power(_BACK, n + 1)[starts])
+    """A 64-bit hash of each span of bytes, equal for equal bytes wherever they stand. Spans come in order; a block of bytes is looked at at a time."""
+    out = np.empty(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        base = starts[i]
+        j = max(i + 1, int(np.searchsorted(ends, base + _BLOCK, "right")))
+        piece = data[base : ends[j - 1]]
+        n = len(piece)
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(_BYTE[piece] * _power(_STEP, n), out=sums[1:])
+        a, b = starts[i:j] - base, ends[i:j] - base
+        out[i:j] = mix((sums[b] - sums[a]) * _power(_BACK, n + 1)[a])
+        i = j
+    return out
 
 
 def rolling(a: np.ndarray, width: int) -> np.ndarray:
@@ -148,3 +159,4 @@ def grouped(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[tuple[tup
             held.append(batch.slice(a, b - a))
     if held:
         yield held_key, pa.Table.from_batches(held)
+    pa.default_memory_pool().release_unused()

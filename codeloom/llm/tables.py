@@ -6,12 +6,15 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codeloom.llm import kernels as K
+
 #: Bits of a Bloom filter for each key, and at most: 16 MB are sent to the executors. Beyond so many keys more rows pass, none is lost.
 BITS_A_KEY, MOST_BITS, PROBES = 12, 1 << 27, 3
 _WORD = 1 << 15  # bits in a row of bitmap_construct_agg
@@ -62,44 +65,23 @@ def release(spark: SparkSession) -> None:
     _delete(spark, own_folder(spark))
 
 
-def _places(key: Column, bits: int) -> list[Column]:
-    return [F.pmod(F.xxhash64(key, F.lit(i)), F.lit(bits)) for i in range(PROBES)]
+def _places(keys: np.ndarray, bits: int) -> Iterator[np.ndarray]:
+    for i in range(PROBES):
+        yield (K.mix(keys.view(np.uint64) + np.uint64(i * 0x9E3779B97F4A7C15 % 2**64)) % np.uint64(bits)).astype(np.int64)
 
 
-def may_be_in(keys: DataFrame, column: Column) -> Column:
-    """Whether a value of `column` may be among the values of `keys`, a table of one column. The filter is aggregated by
-    Spark, with partial bitmaps in each task; only its bits, whose number is bounded, come to the driver."""
+def bitmap(keys: DataFrame) -> np.ndarray:
+    """A Bloom filter of the keys, whole numbers in a table of one column. Tasks make partial bitmaps, which Spark adds
+    up; only the bits, whose number is bounded, come to the driver."""
     bits = max(_WORD, min(MOST_BITS, 1 << (BITS_A_KEY * keys.count()).bit_length()))
-    key = F.col(keys.columns[0]).cast("long")
-    at = keys.select(F.explode(F.array(*_places(key, bits))).alias("at"))
-    rows = at.groupBy(F.expr(f"at div {_WORD}").alias("word")).agg(F.bitmap_construct_agg(F.col("at") % _WORD).alias("bits")).toArrow()
-    packed = np.zeros(bits // 8, np.uint8)
-    for word, value in zip(rows.column("word").to_pylist(), rows.column("bits").to_pylist(), strict=True):
-        packed[word * _WORD // 8 :][: len(value)] = np.frombuffer(value, np.uint8)
-
-    def run(*given: pa.Array) -> pa.Array:
-        hit = np.ones(len(given[0]), bool)
-        for place in given:
-            p = place.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            hit &= (packed[p >> 3] >> (p & 7).astype(np.uint8)) & 1 > 0
-        return pa.array(hit & given[0].is_valid().to_numpy(zero_copy_only=False))
-
-    key = column.cast("long")
-    return F.arrow_udf(run, "boolean")(*[F.when(key.isNotNull(), p) for p in _places(key, bits)])
 
-
-def bitmap(keys: DataFrame, most_bits: int = MOST_BITS) -> np.ndarray:
-    """A packed bitmap of a bounded number of bits in which bit `mix(key) % bits` is set for each key, whole numbers, of a table of one column."""
-    from codeloom.llm import kernels as K
-
-    bits = max(_WORD, min(most_bits, 1 << (64 * keys.count()).bit_length()))
-
-    def place(batches):
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = (K.mix(batch.column(0).to_numpy().view(np.uint64)) % np.uint64(bits)).astype(np.int64)
+            at = np.concatenate(list(_places(batch.column(0).to_numpy(), bits)))
             yield pa.RecordBatch.from_arrays([pa.array(at // _WORD), pa.array(at % _WORD)], ["word", "at"])
 
-    rows = keys.mapInArrow(place, "word long, at long").groupBy("word").agg(F.bitmap_construct_agg("at").alias("bits")).toArrow()
+    some = keys.select(F.col(keys.columns[0]).cast("long").alias("key")).where("key is not null")
+    rows = some.mapInArrow(place, "word long, at long").groupBy("word").agg(F.bitmap_construct_agg("at").alias("bits")).toArrow()
     packed = np.zeros(bits // 8, np.uint8)
     for word, value in zip(rows.column("word").to_pylist(), rows.column("bits").to_pylist(), strict=True):
         packed[word * _WORD // 8 :][: len(value)] = np.frombuffer(value, np.uint8)
@@ -107,14 +89,23 @@ def bitmap(keys: DataFrame, most_bits: int = MOST_BITS) -> np.ndarray:
 
 
 def in_bitmap(packed: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Whether each key may have been among those of the bitmap."""
-    from codeloom.llm import kernels as K
+    """Whether each key may be among those of the filter."""
+    hit = np.ones(len(keys), bool)
+    for p in _places(keys, len(packed) * 8):
+        hit &= (packed[p >> 3] >> (p & 7).astype(np.uint8)) & 1 > 0
+    return hit
+
+
+def may_be_in(packed: np.ndarray, column: Column) -> Column:
+    """Whether a value of `column` may be among the keys of the filter; a null is not."""
+
+    def run(given: pa.Array) -> pa.Array:
+        return pa.array(in_bitmap(packed, given.fill_null(0).to_numpy(zero_copy_only=False)) & given.is_valid().to_numpy(zero_copy_only=False))
 
-    at = (K.mix(keys) % np.uint64(len(packed) * 8)).astype(np.int64)
-    return (packed[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+    return F.arrow_udf(run, "boolean")(column.cast("long"))
 
 
 def split_by(rows: DataFrame, column: str, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The rows that may have one of the keys, and the others; only the first need take part in a join."""
-    may = may_be_in(keys, F.col(column))
+    may = may_be_in(bitmap(keys), F.col(column))
     return rows.where(may), rows.where(~may)
