@@ -7,6 +7,8 @@ numpy arrays at a time.
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +26,7 @@ _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64
 _STEP = 0x9E3779B97F4A7C15
 _BACK = pow(_STEP, -1, 2**64)
 _BLOCK = 1 << 19
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -54,6 +57,13 @@ def bound_batches(spark: SparkSession, most: int = 4 << 20) -> None:
         spark.conf.set(name, str(most))
 
 
+def release() -> None:
+    """Gives back memory that is free: workers are reused, and idle ones stay beside those at work."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
 def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """Cuts batches into runs of rows with at most `most` bytes of text, or one row."""
     for batch in batches:
@@ -68,7 +78,7 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 19)
             j = max(i + 1, int(np.searchsorted(ends, before + most, "right")))
             yield batch.slice(i, j - i)
             i = j
-    pa.default_memory_pool().release_unused()  # workers are reused and stay
+    release()
 
 
 def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -159,4 +169,4 @@ def grouped(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[tuple[tup
             held.append(batch.slice(a, b - a))
     if held:
         yield held_key, pa.Table.from_batches(held)
-    pa.default_memory_pool().release_unused()
+    release()

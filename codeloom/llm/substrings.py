@@ -8,8 +8,8 @@ In its bucket a minimiser that came once, from one place, is dropped unread; for
 the windows themselves are sorted and counted, as bytes, so the counts are exact. There are as many buckets as
 the texts' bytes need, so that what a task holds doesn't grow with the input.
 
-A minimiser may be hot: a passage that a third of all documents have, or one word repeated for megabytes. The bytes of each
-minimiser are added up first. Windows of hot ones don't meet in a bucket; Spark counts them by a hash of 128 bits, in
+A minimiser may be hot: a passage that a third of all documents have, or one word repeated for megabytes. The bytes of
+minimisers are added up first, by hash in cells that are small against a bucket. Windows of hot ones don't meet in a bucket; Spark counts them by a hash of 128 bits, in
 part before the shuffle.
 """
 
@@ -27,8 +27,8 @@ from codeloom.llm import kernels as K
 from codeloom.llm.tables import bitmap, checkpoint, in_bitmap, split_by
 
 WORDS, MINIMISER = 50, 4
-#: Bytes of text for each bucket; bytes of super-k-mers from which a minimiser is hot.
-BUCKET_BYTES, HOT_BYTES = 16 << 20, 4 << 20
+#: Bytes of text for each bucket; bytes of super-k-mers from which a cell of minimisers is hot; cells for each bucket, at least.
+BUCKET_BYTES, HOT_BYTES, CELLS = 16 << 20, 4 << 20, 64
 _CODEC = "zstd"
 _FLUSH = 16 << 20
 _C = np.uint64(0x9E3779B97F4A7C15)
@@ -77,27 +77,31 @@ def super_kmers(data: np.ndarray, offsets: np.ndarray, k: int, m: int) -> tuple[
     return doc[head], head - first[doc[head]], least[head], several, starts[head], ends[head + many + k - 2]
 
 
-def _weights(k: int, m: int):
-    """(minimiser, bytes) of the super-k-mers of each piece of text, added up there."""
+def _cell(minimiser: np.ndarray, bits: int) -> np.ndarray:
+    return (K.mix(minimiser ^ _C) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _weights(k: int, m: int, bits: int):
+    """(cell, bytes) of the super-k-mers of each piece of text, added up there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in K.pieces(batches, "text", 1 << 20):
+        for piece in K.pieces(batches, "text"):
             data, offsets = one_space(*K.flat(piece.column("text")))
             _, _, minimiser, _, begin, end = super_kmers(data, offsets, k, m)
-            values, at = np.unique(minimiser, return_inverse=True)
-            yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(np.bincount(at, end - begin, len(values)).astype(np.int64))], ["minimiser", "bytes"])
+            values, at = np.unique(_cell(minimiser, bits), return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(np.bincount(at, end - begin, len(values)).astype(np.int64))], ["cell", "bytes"])
 
     return run
 
 
-def _hot_windows(k: int, m: int, hot: np.ndarray):
+def _hot_windows(k: int, m: int, hot: np.ndarray, bits: int):
     """(key, doc_id, start, h1, h2): each window of a hot minimiser, with its hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in K.pieces(batches, "text"):
             data, offsets = one_space(*K.flat(piece.column("text")))
             doc, start, minimiser, _, begin, end = super_kmers(data, offsets, k, m)
-            some = np.flatnonzero(in_bitmap(hot, minimiser)) if len(doc) else []
+            some = np.flatnonzero(in_bitmap(hot, _cell(minimiser, bits))) if len(doc) else []
             if not len(some):
                 continue
             starts, ends, first = K.words(data, offsets)
@@ -115,7 +119,7 @@ def _hot_windows(k: int, m: int, hot: np.ndarray):
     return run
 
 
-def _scatter(k: int, m: int, buckets: int, hot: np.ndarray | None):
+def _scatter(k: int, m: int, buckets: int, hot: np.ndarray | None, bits: int):
     def flush(held: dict[int, list[tuple[bytes, ...]]]) -> pa.RecordBatch:
         rows = []
         for parts in held.values():
@@ -137,7 +141,7 @@ def _scatter(k: int, m: int, buckets: int, hot: np.ndarray | None):
             bucket = (K.mix(minimiser) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             if hot is not None:
-                order = order[~in_bitmap(hot, minimiser[order])]
+                order = order[~in_bitmap(hot, _cell(minimiser[order], bits))]
                 if not len(order):
                     continue
             raw = data.tobytes()
@@ -227,6 +231,8 @@ def _count(k: int):
         for g in list(groups):
             rows += count_windows(groups.pop(g), k)
         columns = list(zip(*rows, strict=True)) or [()] * 6
+        del parts, rows
+        K.release()
         return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_()), strict=True)], names=["doc_id", "key", "start", "windows", "copies", "is_first"])
 
     return run
@@ -246,15 +252,16 @@ def repeated_windows(docs: DataFrame, k: int = WORDS, m: int = MINIMISER, bucket
     K.bound_batches(spark)
     base = docs.where("doc_id is not null and text is not null").select(F.xxhash64(F.col("doc_id").cast("long"), "text").alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).collect()[0][0]
-    weights = base.select("text").mapInArrow(_weights(k, m), "minimiser long, bytes long").groupBy("minimiser").agg(F.sum("bytes").alias("bytes"))
-    heavy = checkpoint(spark, weights.where(F.col("bytes") > hot_bytes).select("minimiser"))
+    buckets = max(1, -(-total // bucket_bytes))
+    bits = (CELLS * buckets).bit_length()
+    weights = base.select("text").mapInArrow(_weights(k, m, bits), "cell long, bytes long").groupBy("cell").agg(F.sum("bytes").alias("bytes"))
+    heavy = checkpoint(spark, weights.where(F.col("bytes") > hot_bytes).select("cell"))
     hot = bitmap(heavy) if not heavy.isEmpty() else None
     schema = "doc_id long, key long, start int, windows int, copies long, is_first boolean"
-    buckets = max(1, -(-total // bucket_bytes))
-    counted = base.mapInArrow(_scatter(k, m, buckets, hot), "bucket int, payload binary").groupBy("bucket").applyInArrow(_count(k), schema)
+    counted = base.mapInArrow(_scatter(k, m, buckets, hot, bits), "bucket int, payload binary").groupBy("bucket").applyInArrow(_count(k), schema)
     if hot is None:
         return counted
-    windows = base.mapInArrow(_hot_windows(k, m, hot), "key long, doc_id long, start int, h1 long, h2 long").distinct()  # repeated rows are one document
+    windows = base.mapInArrow(_hot_windows(k, m, hot, bits), "key long, doc_id long, start int, h1 long, h2 long").distinct()  # repeated rows are one document
     often = checkpoint(spark, windows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "key", "start")).alias("lead")).where("copies > 1"))
     is_first = (F.col("doc_id") == F.col("lead.doc_id")) & (F.col("key") == F.col("lead.key")) & (F.col("start") == F.col("lead.start"))
     return counted.unionByName(windows.join(often, ["h1", "h2"]).select("doc_id", "key", "start", F.lit(1).alias("windows"), "copies", is_first.alias("is_first")))
