@@ -165,6 +165,7 @@ class Source:
 
     def __init__(self, text: str, language: str):
         self.language = language
+        self._functions: list[dict] | None = None
         self.sharp = language == "csharp"
         self.tokens, self.comments = lex(text, language)
         self.pairs = _pairs(self.tokens)
@@ -216,6 +217,11 @@ class Source:
 
     def functions(self) -> list[dict]:
         """All functions with a body: name, first and last token, body, and whether a declaration, method, expression, arrow or constructor."""
+        if self._functions is None:
+            self._functions = self._find_functions()
+        return self._functions
+
+    def _find_functions(self) -> list[dict]:
         out = []
         for i in range(len(self.tokens)):
             t = self.tokens[i]
@@ -231,7 +237,7 @@ class Source:
                     out.append({"name": name or self._assigned(begin), "begin": begin, "end": body[1], "body": body, "kind": "declaration" if name and stands else "expression"})
             elif t.text == "=>" and not self.sharp and self.text(i + 1) == "{" and i + 1 in self.pairs:
                 k = i - 1
-                while k > max(0, i - 40) and self.text(k) != ")" and self.text(k) != ":" and (self.tokens[k].kind in ("word", "string") or self.text(k) in {".", "<", ">", "[", "]", "|", "&", ",", "?"}):
+                while k > 0 and self.text(k) != ")" and self.text(k) != ":" and (self.tokens[k].kind in ("word", "string") or self.text(k) in {".", "<", ">", "[", "]", "|", "&", ",", "?"}):
                     k -= 1  # back over a return type
                 k = k - 1 if self.text(k) == ":" and self.text(k - 1) == ")" else i - 1
                 begin = self.pairs.get(k, k) if self.text(k) == ")" else k
@@ -288,7 +294,7 @@ class Source:
     def _in_class(self, i: int) -> str:
         """The name of the class, struct, record or interface whose body directly holds token i."""
         self._classes()
-        return next((name for name, _, body in self._classes() if body[0] == self.within[i]), "") if self.within[i] in self._bodies else ""
+        return self._bodies.get(self.within[i], "")
 
     def _classes(self) -> list[tuple[str, int, tuple[int, int]]]:
         if not hasattr(self, "_class_list"):
@@ -301,7 +307,7 @@ class Source:
                         j = self.pairs.get(j, j) + 1 if self.text(j) == "(" else j + 1
                     if j < len(self.tokens) and self.text(j) == "{" and j in self.pairs:
                         found.append((self.text(i + 1) if self.is_name(i + 1) else "", i, (j, self.pairs[j])))
-            self._class_list, self._bodies = found, {body[0] for _, _, body in found}
+            self._class_list, self._bodies = found, {body[0]: name for name, _, body in reversed(found)}
         return self._class_list
 
     def _past_generics(self, j: int) -> int:
@@ -410,24 +416,28 @@ class Source:
     def complexity(self) -> list[dict]:
         """Functions with a body (in C#: methods) and their cyclomatic complexity, nested functions apart outside C#."""
         functions = self.functions()
-        out = []
-        for f in functions:
-            if self.sharp and f["kind"] != "method":
-                continue
-            value = 1
-            if f["body"]:
-                begin, end = f["body"]
-                inner = [] if self.sharp else [(g["begin"], g["end"]) for g in functions if begin < g["begin"] and g["end"] < end]
-                i = begin
-                while i < end:
-                    skip = max((e for b, e in inner if b == i), default=-1)
-                    if skip >= 0:
-                        i = skip + 1
-                        continue
-                    value += self._branch(i)
-                    i += 1
-            out.append({"name": f["name"], "complexity": value, "lineno": self.tokens[f["begin"]].line, "endline": self.tokens[f["end"]].line})
-        return out
+        values = dict.fromkeys(range(len(functions)), 1)
+        if self.sharp:
+            before = [0]  # branches in front of each token
+            for i in range(len(self.tokens)):
+                before.append(before[-1] + self._branch(i))
+            for k, f in enumerate(functions):
+                if f["body"]:
+                    values[k] += before[f["body"][1]] - before[f["body"][0]]
+        else:
+            order = sorted(range(len(functions)), key=lambda k: (functions[k]["begin"], -functions[k]["end"]))
+            open_: list[int] = []  # functions around the token, the innermost last
+            at = 0
+            for i in range(len(self.tokens)):
+                while open_ and functions[open_[-1]]["end"] < i:
+                    open_.pop()
+                while at < len(order) and functions[order[at]]["begin"] == i:
+                    open_.append(order[at])
+                    at += 1
+                if open_ and functions[open_[-1]]["body"][0] <= i:
+                    values[open_[-1]] += self._branch(i)
+        kept = [(k, f) for k, f in enumerate(functions) if not self.sharp or f["kind"] == "method"]
+        return [{"name": f["name"], "complexity": values[k], "lineno": self.tokens[f["begin"]].line, "endline": self.tokens[f["end"]].line} for k, f in kept]
 
     def _branch(self, i: int) -> int:
         t = self.tokens[i]

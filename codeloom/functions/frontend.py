@@ -1,28 +1,47 @@
-"""Everything that parsing one file yields, in one pass over it."""
+"""What parsing one file yields: all of it or some, in one pass over the file."""
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 from codeloom.functions import braces, python_source
 
-#: Longer texts aren't parsed; they are reported in `error`.
-MOST_CHARS = 20_000_000
+#: What can be asked for: Python's lexical count, blocks, the number of their tokens, complexity, comments, unused names, lint findings.
+OUTPUTS = ("py_tokens", "in_blocks", "blocks", "complexity", "comments", "unused", "lint")
+_COUNTS = {"py_tokens", "in_blocks"}
 
 
-def analyse(language: str | None, content: str | None, raw: bytes | None) -> dict:
-    """blocks, complexity, comments, unused, lint and the lexical count of Python; a failure leaves them empty and is named in error."""
-    out = {"py_tokens": None, "blocks": [], "complexity": [], "comments": [], "unused": [], "lint": [], "error": None}
+def analyse(language: str | None, content: str | None, raw: bytes | None, outputs: Collection[str] = OUTPUTS) -> dict:
+    """The outputs asked for; a failure leaves them empty and is named in error. Findings on a line marked `noqa` are left out."""
+    empty = {name: None if name in _COUNTS else [] for name in outputs}
+    out = dict(empty, error=None)
     try:
-        if content is not None and len(content) > MOST_CHARS:
-            out["error"] = "too long"
-        elif language == "python":
-            out["py_tokens"] = python_source.token_count(raw)
+        if language == "python":
+            if "py_tokens" in outputs:
+                out["py_tokens"] = python_source.token_count(raw)
+            if set(outputs) == {"py_tokens"}:
+                return out
             tree = python_source.parse(content)
             if tree is None:
                 out["error"] = "not parsed"
-            out |= {"blocks": python_source.blocks(tree), "complexity": python_source.complexity(tree), "unused": python_source.unused(tree), "lint": python_source.lint(tree, raw)}
+            made = {
+                "blocks": lambda: python_source.blocks(tree),
+                "in_blocks": lambda: sum(len(b["tokens"]) for b in python_source.blocks(tree)),
+                "complexity": lambda: python_source.complexity(tree),
+                "unused": lambda: python_source.without_noqa(python_source.unused(tree), content),
+                "lint": lambda: python_source.without_noqa(python_source.lint(tree, raw), content),
+            }
         elif language in braces.LANGUAGES and content is not None:
             source = braces.Source(content, language)
-            out |= {"blocks": source.blocks(), "complexity": source.complexity(), "comments": [{"line": line, "text": text} for line, text in source.comments]}
+            made = {
+                "blocks": source.blocks,
+                "in_blocks": lambda: sum(len(b["tokens"]) for b in source.blocks()),
+                "complexity": source.complexity,
+                "comments": lambda: [{"line": line, "text": text} for line, text in source.comments],
+            }
+        else:
+            made = {}
+        out |= {name: make() for name, make in made.items() if name in outputs}
     except Exception as e:  # one bad file must not fail the job; the error is a column
-        out |= {"blocks": [], "complexity": [], "comments": [], "unused": [], "lint": [], "error": f"{type(e).__name__}: {e}"[:200]}
+        out |= empty | {"error": f"{type(e).__name__}: {e}"[:200]}
     return out

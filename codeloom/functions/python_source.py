@@ -112,14 +112,30 @@ def _finding(line: int, code: str, message: str) -> dict:
     return {"line": line, "code": code, "message": message}
 
 
+_NOQA = re.compile(r"(?i)#\s*noqa(?::[\s]?(?P<codes>[A-Z][0-9]+(?:[,\s]+[A-Z][0-9]+)*))?")
+
+
+def without_noqa(findings: list[dict], content: str | None) -> list[dict]:
+    """Findings, but for those on a line with a `noqa` comment that names no code or the beginning of theirs."""
+    if not findings or not content or "noqa" not in content.lower():
+        return findings
+    lines = re.split("\r\n|[\n\r]", content)
+
+    def stays(f: dict) -> bool:
+        m = _NOQA.search(lines[f["line"] - 1]) if 0 < f["line"] <= len(lines) else None
+        return not m or (m["codes"] is not None and not f["code"].startswith(tuple(re.split(r"[,\s]+", m["codes"].upper()))))
+
+    return [f for f in findings if stays(f)]
+
+
 def _own_nodes(function: ast.AST) -> Iterator[ast.AST]:
     """Nodes of a function's own scope."""
-    todo = list(ast.iter_child_nodes(function))
+    todo = list(ast.iter_child_nodes(function))[::-1]
     while todo:
-        node = todo.pop(0)
+        node = todo.pop()
         yield node
         if not isinstance(node, (*_FUNCTIONS, ast.ClassDef, ast.Lambda)):
-            todo[:0] = ast.iter_child_nodes(node)
+            todo += list(ast.iter_child_nodes(node))[::-1]
 
 
 def unused(tree: ast.Module | None) -> list[dict]:

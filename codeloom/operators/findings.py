@@ -14,14 +14,12 @@ def complexity(parsed: DataFrame, threshold: int = 10) -> DataFrame:
     return c.select("c.name", "c.complexity", "c.lineno", "c.endline", "file", F.lit(threshold).alias("threshold"), C.severity(F.col("c.complexity"), threshold).alias("severity"))
 
 
-def token_counts(files: DataFrame, parsed: DataFrame) -> DataFrame:
+def token_counts(parsed: DataFrame) -> DataFrame:
     """(file, language, token_count). Python by its own lexer; JavaScript lexically; TypeScript by the tokens
     of its blocks; C# by those too if they are at least 10 and a tenth of the lexical count, else lexically."""
-    of_blocks = parsed.select("file", "language", "py_tokens", F.aggregate("blocks", F.lit(0), lambda s, b: s + F.size(b["tokens"])).alias("in_blocks"))
-    lexical = files.where(F.col("language").isin("javascript", "csharp")).select(F.col("path").alias("file"), C.lexical_count(F.col("content")).alias("lexical"))
-    language, b, n = F.col("language"), F.col("in_blocks"), F.col("lexical")
+    language, n, b = F.col("language"), F.col("lexical"), F.coalesce("in_blocks", F.lit(0))
     count = F.when(language == "python", F.col("py_tokens")).when(language == "javascript", n).when(language == "csharp", block_or_lexical(b, n)).otherwise(b)
-    return of_blocks.join(lexical, "file", "left").select("file", "language", F.coalesce(count, F.lit(0)).alias("token_count"))
+    return parsed.select("file", "language", F.coalesce(count, F.lit(0)).alias("token_count"))
 
 
 def block_or_lexical(in_blocks, lexical):

@@ -65,7 +65,7 @@ class Corpus:
 
     def sections(self, s: Settings) -> dict[str, DataFrame]:
         n = s.top_n_large
-        counts = O.token_counts(self.files, self.parsed)
+        counts = O.token_counts(self.parsed)
         made = {
             "complexity_results": lambda: O.complexity(self.parsed, s.complexity_threshold),
             "large_files": lambda: O.large_files(counts, s.large_file_threshold, n),
@@ -99,7 +99,7 @@ def register_functions(spark: SparkSession) -> None:
         class Rows:
             def eval(self, content: str, language: str = "python"):
                 raw = None if content is None else content.encode()
-                for row in frontend.analyse(language if language_given else "python", content, raw)[key]:
+                for row in frontend.analyse(language if language_given else "python", content, raw, (key,))[key]:
                     yield tuple(row[f] for f in fields)
 
         spark.udtf.register(name, udtf(Rows, returnType=ddl))

@@ -224,13 +224,13 @@ def code(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codetree.from_table(rows, F.col("path"), F.col("content"))
 
 
-def parsed_code(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parsing.parse(code(spark, sf_dir))
+def parsed_code(spark: SparkSession, sf_dir: str, *outputs: str, languages: tuple[str, ...] = ()) -> DataFrame:
+    return parsing.parse(code(spark, sf_dir), outputs, languages)
 
 
 @_query()
 def py_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parsing.blocks(parsed_code(spark, sf_dir)).select("location.*", "type", "name", "language", F.array_join("tokens", " ").alias("tokens"))
+    return parsing.blocks(parsed_code(spark, sf_dir, "blocks")).select("location.*", "type", "name", "language", F.array_join("tokens", " ").alias("tokens"))
 
 
 @_query(f"""
@@ -244,7 +244,7 @@ WITH c AS (
   UNION ALL SELECT 'cs/p' || p_partkey || '.cs', 'Bar', 1, 6 + p_size % 5, 6 + p_size % 5 FROM part)
 SELECT name, CAST(complexity AS INTEGER) AS complexity, CAST(lineno AS INTEGER) AS lineno, CAST(endline AS INTEGER) AS endline, file, 2 AS threshold, {_GRADE.format("(complexity / 2)")} AS severity FROM c WHERE complexity >= 2""")
 def code_complexity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return O.complexity(parsed_code(spark, sf_dir), 2)
+    return O.complexity(parsed_code(spark, sf_dir, "complexity"), 2)
 
 
 @_query("""
@@ -253,7 +253,7 @@ UNION ALL SELECT 'js/p' || p_partkey || '.js', 1, 'FIXME', 'later ' || p_partkey
 UNION ALL SELECT 'cs/p' || p_partkey || '.cs', 1, 'BUG', p_partkey || ' */' FROM part""")
 def code_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = code(spark, sf_dir)
-    return O.markers(files, parsing.parse(files))
+    return O.markers(files, parsing.parse(files, ("comments",), ("javascript", "typescript", "tsx", "csharp")))
 
 
 @_query("""
@@ -261,7 +261,7 @@ SELECT 'py/p' || p_partkey || '.py' AS file, 1 AS line, 'F401' AS code, '''os''
 UNION ALL SELECT 'py/p' || p_partkey || '.py', 2, 'F401', '''sys'' imported but unused' FROM part
 UNION ALL SELECT 'py/p' || p_partkey || '.py', 8, 'F841', 'local variable ''x'' is assigned to but never used' FROM part""")
 def py_unused(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return O.unused(parsed_code(spark, sf_dir))
+    return O.unused(parsed_code(spark, sf_dir, "unused", languages=("python",)))
 
 
 @_query("""
@@ -269,7 +269,7 @@ SELECT 'py/p' || p_partkey || '.py' AS file, 7 AS line, 'B006' AS code, 'Do not
 UNION ALL SELECT 'py/p' || p_partkey || '.py', CAST(9 + 2 * (p_size % 5) AS INTEGER), 'S307', 'Use of a possibly insecure function: eval' FROM part
 UNION ALL SELECT 'py/p' || p_partkey || '.py', CAST(14 + 2 * (p_size % 5) AS INTEGER), 'E800', 'Found commented out code' FROM part""")
 def py_lint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return O.lint(parsed_code(spark, sf_dir))
+    return O.lint(parsed_code(spark, sf_dir, "lint", languages=("python",)))
 
 
 @_query(f"""
@@ -280,7 +280,7 @@ WITH c AS (
 SELECT name, file, CAST(start_line AS INTEGER) AS start_line, CAST(end_line AS INTEGER) AS end_line, CAST(n AS INTEGER) AS token_count, {_GRADE.format("(n / 10)")} AS severity
 FROM c WHERE n >= 10 ORDER BY n DESC, file, start_line, name LIMIT 20""")
 def code_large_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return O.large_classes(parsing.blocks(parsed_code(spark, sf_dir)), 10, 20)
+    return O.large_classes(parsing.blocks(parsed_code(spark, sf_dir, "blocks")), 10, 20)
 
 
 @_query(f"""
@@ -288,8 +288,7 @@ SELECT 'py/p' || p_partkey || '.py' AS file, 'python' AS language, CAST(70 + 12
 UNION ALL SELECT 'js/p' || p_partkey || '.js', 'javascript', CAST(len(regexp_extract_all({_ECMA.replace(chr(92) + "n", "' || chr(10) || '")}, '{_LEXEME}')) AS INTEGER) FROM part
 UNION ALL SELECT 'cs/p' || p_partkey || '.cs', 'csharp', CAST(11 + 10 * (p_size % 5) AS INTEGER) FROM part""")
 def code_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = code(spark, sf_dir)
-    return O.token_counts(files, parsing.parse(files))
+    return O.token_counts(parsed_code(spark, sf_dir, "py_tokens", "in_blocks"))
 
 
 @_query("""

@@ -24,7 +24,7 @@ def watch(files: DataFrame, out: str, checkpoint: str, min_size: int = 50, compl
         blocks = parsing.blocks(parsed)
         sections = {
             "complexity_results": O.complexity(parsed, complexity_threshold),
-            "large_files": O.large_files(O.token_counts(df, parsed), large_file_threshold, None),
+            "large_files": O.large_files(O.token_counts(parsed), large_file_threshold, None),
             "unused": O.unused(parsed),
             "todo_fixme": O.markers(df, parsed),
             "bns_results": O.lint(parsed),

@@ -116,3 +116,24 @@ def test_failures_are_a_column():
     assert analyse("python", "def (", b"def (")["error"] == "not parsed"
     assert analyse("csharp", None, b"\xff")["blocks"] == []
     assert analyse("javascript", "}}) ]( `", b"")["error"] is None
+
+
+@pytest.mark.parametrize(("comment", "left"), [("", ["F401"]), ("  # noqa", []), ("  # NOQA: F401", []), ("  # noqa:E501,F4", []), ("  # noqa: B006", ["F401"])])
+def test_noqa(comment, left):
+    source = f"import os{comment}\n"
+    assert [f["code"] for f in analyse("python", source, source.encode())["unused"]] == left
+
+
+def test_only_what_is_asked_for():
+    assert analyse("python", "x = 1\n", b"x = 1\n", ("py_tokens",)) == {"py_tokens": 4, "error": None}
+    assert analyse("csharp", "class A { int F() { return 1; } }", None, ("in_blocks",)) == {"in_blocks": 3, "error": None}
+    assert analyse("javascript", None, None, ("comments",)) == {"comments": [], "error": None}
+
+
+def test_many_functions_in_one_file_take_linear_time():
+    import time
+
+    source = braces.Source("function f(a) { if (a) { return b.map(x => { return x ? 1 : 2; }); } }\n" * 10_000, "javascript")
+    began = time.time()
+    found = source.complexity()
+    assert len(found) == 20_000 and {c["complexity"] for c in found} == {2} and time.time() - began < 10
