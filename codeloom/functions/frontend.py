@@ -6,7 +6,7 @@ from collections.abc import Collection
 
 from codeloom.functions import braces, python_source
 
-#: What can be asked for: Python's lexical count, blocks, the number of their tokens, complexity, comments, unused names, lint findings.
+#: What can be asked for: Python's lexical count, the number of tokens in blocks of other languages, blocks, complexity, comments, unused names, lint findings.
 OUTPUTS = ("py_tokens", "in_blocks", "blocks", "complexity", "comments", "unused", "lint")
 _COUNTS = {"py_tokens", "in_blocks"}
 
@@ -19,14 +19,13 @@ def analyse(language: str | None, content: str | None, raw: bytes | None, output
         if language == "python":
             if "py_tokens" in outputs:
                 out["py_tokens"] = python_source.token_count(raw)
-            if set(outputs) == {"py_tokens"}:
+            if set(outputs) <= _COUNTS:
                 return out
             tree = python_source.parse(content)
             if tree is None:
                 out["error"] = "not parsed"
             made = {
                 "blocks": lambda: python_source.blocks(tree),
-                "in_blocks": lambda: sum(len(b["tokens"]) for b in python_source.blocks(tree)),
                 "complexity": lambda: python_source.complexity(tree),
                 "unused": lambda: python_source.without_noqa(python_source.unused(tree), content),
                 "lint": lambda: python_source.without_noqa(python_source.lint(tree, raw), content),

@@ -138,33 +138,99 @@ def _own_nodes(function: ast.AST) -> Iterator[ast.AST]:
             todo += list(ast.iter_child_nodes(node))[::-1]
 
 
+class _Scope:
+    """Names that a module, class or function binds, reads and imports."""
+
+    def __init__(self, parent: _Scope | None, is_class: bool = False):
+        self.parent, self.is_class = parent, is_class
+        self.bound: set[str] = set()
+        self.reads: set[str] = set()
+        self.outside: dict[str, bool] = {}  # names declared global (True) or nonlocal
+        self.imports: list[tuple[str, int, str]] = []
+        self.used: set[str] = set()
+
+    def resolve(self, name: str, own: bool = True) -> None:
+        """Marks the name as used in the scope that binds it."""
+        scope: _Scope | None = self
+        if name in self.outside:
+            own = False
+            while self.outside[name] and scope.parent:
+                scope = scope.parent
+                own = True
+        while scope:
+            if name in scope.bound and (own or scope is not self) and (scope is self or not scope.is_class):
+                scope.used.add(name)
+                return
+            scope = scope.parent
+
+
+def _scopes(tree: ast.Module) -> list[_Scope]:
+    top = _Scope(None)
+    found, todo = [top], [(node, top) for node in tree.body]
+    while todo:
+        node, scope = todo.pop()
+        inner = scope
+        match node:
+            case ast.FunctionDef() | ast.AsyncFunctionDef() | ast.Lambda():
+                inner = _Scope(scope)
+                found.append(inner)
+                args = node.args
+                given = [*args.posonlyargs, *args.args, *args.kwonlyargs, *(a for a in (args.vararg, args.kwarg) if a)]
+                inner.bound |= {a.arg for a in given}
+                outer = [*args.defaults, *(d for d in args.kw_defaults if d), *(a.annotation for a in given if a.annotation)]
+                if isinstance(node, ast.Lambda):
+                    todo.append((node.body, inner))
+                else:
+                    scope.bound.add(node.name)
+                    outer += [*node.decorator_list, *([node.returns] if node.returns else [])]
+                    todo += [(n, inner) for n in node.body]
+                todo += [(n, scope) for n in outer]
+                continue
+            case ast.ClassDef():
+                scope.bound.add(node.name)
+                inner = _Scope(scope, True)
+                found.append(inner)
+                todo += [(n, scope) for n in (*node.decorator_list, *node.bases, *(k.value for k in node.keywords))] + [(n, inner) for n in node.body]
+                continue
+            case ast.Import() | ast.ImportFrom():
+                module = "." * (getattr(node, "level", 0) or 0) + (getattr(node, "module", None) or "")
+                for alias in node.names if module != "__future__" else ():
+                    bound = alias.asname or (alias.name.split(".")[0] if isinstance(node, ast.Import) else alias.name)
+                    full = f"{module}{'' if module.endswith('.') or not module else '.'}{alias.name}"
+                    scope.bound.add(bound)
+                    if alias.name != "*":
+                        scope.imports.append((bound, node.lineno, f"{full} as {alias.asname}" if alias.asname and alias.asname != alias.name else full))
+            case ast.Global() | ast.Nonlocal():
+                scope.outside |= dict.fromkeys(node.names, isinstance(node, ast.Global))
+            case ast.Name():
+                (scope.bound if isinstance(node.ctx, ast.Store) else scope.reads).add(node.id)
+            case ast.ExceptHandler(name=str() as name):
+                scope.bound.add(name)
+        todo += [(n, inner) for n in ast.iter_child_nodes(node)]
+    for scope in found:
+        scope.bound -= scope.outside.keys()
+    for scope in found:
+        for name in scope.reads:
+            scope.resolve(name)
+    return found
+
+
 def unused(tree: ast.Module | None) -> list[dict]:
-    """Imports never used in the file (F401) and plain local names assigned but never read in their function (F841)."""
+    """Imports never used in their scope or one inside it (F401; those of a class body are attributes) and plain local names assigned but never read in their function (F841)."""
     if not tree:
         return []
-    used = {n.id for n in ast.walk(tree) if isinstance(n, ast.Name) and not isinstance(n.ctx, ast.Store)}
+    named: set[str] = set()
     for node in ast.walk(tree):  # names listed for export, and in annotations written as strings
         if isinstance(node, (ast.Assign, ast.AugAssign)):
             targets = node.targets if isinstance(node, ast.Assign) else [node.target]
             if any(isinstance(t, ast.Name) and t.id == "__all__" for t in targets):
-                used |= {c.value for c in ast.walk(node.value) if isinstance(c, ast.Constant) and isinstance(c.value, str)}
+                named |= {c.value for c in ast.walk(node.value) if isinstance(c, ast.Constant) and isinstance(c.value, str)}
         notes = [a for a in (getattr(node, "annotation", None), getattr(node, "returns", None)) if a is not None]
         for c in (c for a in notes for c in ast.walk(a) if isinstance(c, ast.Constant) and isinstance(c.value, str)):
-            used |= set(re.findall(r"[^\W\d]\w*", c.value))
-    out: list[dict] = []
-    for node in list(ast.walk(tree)):
-        if isinstance(node, (ast.Import, ast.ImportFrom)):
-            module = "." * (getattr(node, "level", 0) or 0) + (getattr(node, "module", None) or "")
-            if module == "__future__":
-                continue
-            for alias in node.names:
-                bound = alias.asname or (alias.name.split(".")[0] if isinstance(node, ast.Import) else alias.name)
-                if alias.name == "*" or bound in used:
-                    continue
-                full = f"{module}{'' if module.endswith('.') or not module else '.'}{alias.name}"
-                label = f"{full} as {alias.asname}" if alias.asname and alias.asname != alias.name else full
-                out.append(_finding(node.lineno, "F401", f"'{label}' imported but unused"))
-        elif isinstance(node, _FUNCTIONS):
+            named |= set(re.findall(r"[^\W\d]\w*", c.value))
+    out = [_finding(line, "F401", f"'{label}' imported but unused") for s in _scopes(tree) if not s.is_class for bound, line, label in s.imports if bound not in s.used | named]
+    for node in ast.walk(tree):
+        if isinstance(node, _FUNCTIONS):
             out += _unused_locals(node)
     return sorted(out, key=lambda f: (f["line"], f["code"], f["message"]))
 

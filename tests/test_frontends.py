@@ -56,6 +56,14 @@ def test_python_classes_and_methods_are_listed():
         ("def foo():\n    x, y = 1, 2\n", []),
         ("def foo():\n    x = 1\n    def bar(): return x\n", []),
         ("def foo():\n    global x\n    x = 1\n", []),
+        ("def f():\n    import os\ndef g(os):\n    return os\n", [(2, "F401", "'os' imported but unused")]),
+        ("import os\ndef g(a=os):\n    return a\n", []),
+        ("import os\nclass C:\n    def f(self):\n        return [lambda: os.sep for x in ()]\n", []),
+        ("class C:\n    import os\n", []),
+        ("import os\ndef f():\n    global os\n    return os\n", []),
+        ("def f():\n    import os\n    def g():\n        nonlocal os\n        return os\n    return g\n", []),
+        ("import a.b\nimport a.c\nx: 'a' = 1\n", []),
+        ("try:\n    import fast\nexcept ImportError:\n    fast = None\n", [(2, "F401", "'fast' imported but unused")]),
         ("def (", []),
     ],
 )
