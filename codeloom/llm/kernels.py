@@ -26,7 +26,11 @@ _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64
 _STEP = 0x9E3779B97F4A7C15
 _BACK = pow(_STEP, -1, 2**64)
 _BLOCK = 1 << 19
-_trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
+_libc = ctypes.CDLL(None) if sys.platform == "linux" else None
+_trim = getattr(_libc, "malloc_trim", None)
+if hasattr(_libc, "mallopt"):  # else glibc raises both by itself, to 32 and 64 MB, and keeps freed arrays in each worker
+    _libc.mallopt(-3, 8 << 20)  # M_MMAP_THRESHOLD: larger arrays are given back when they are freed
+    _libc.mallopt(-1, 16 << 20)  # M_TRIM_THRESHOLD
 _powers: dict[int, np.ndarray] = {}
 
 

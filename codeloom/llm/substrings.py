@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.llm import kernels as K
-from codeloom.llm.tables import bitmap, checkpoint, in_bitmap, split_by
+from codeloom.llm.tables import bitmap, checkpoint, discard, in_bitmap, split_by
 
 WORDS, MINIMISER = 50, 4
 #: Bytes of text for each bucket; bytes of super-k-mers from which a cell of minimisers is hot; cells for each bucket, at least.
@@ -124,9 +124,9 @@ def _scatter(k: int, m: int, buckets: int, hot: np.ndarray | None, bits: int):
         rows = []
         for parts in held.values():
             columns = [b"".join(c) for c in zip(*parts, strict=True)]
-            n = len(columns[0]) // 8
-            packed = b"".join(columns)
-            rows.append(np.array([n, len(packed)], np.int64).tobytes() + pa.Codec(_CODEC, 3).compress(packed, asbytes=True))
+            head, codec = b"".join(columns[:-1]), pa.Codec(_CODEC, 3)
+            small = codec.compress(head, asbytes=True)
+            rows.append(np.array([len(head), len(columns[-1]), len(small)], np.int64).tobytes() + small + codec.compress(columns[-1], asbytes=True))
         return pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array(rows, pa.binary())], ["bucket", "payload"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,13 +161,19 @@ def _scatter(k: int, m: int, buckets: int, hot: np.ndarray | None, bits: int):
     return run
 
 
-def _unpack(payload: pa.Scalar) -> tuple[np.ndarray, ...]:
+def _heads(payload: pa.Scalar) -> tuple[np.ndarray, ...]:
+    """minimiser, key, doc_id, first window, whether it has the minimiser at several places and bytes of each super-k-mer."""
     raw = payload.as_buffer()
-    n, size = np.frombuffer(raw, np.int64, 2).tolist()
-    data = pa.Codec(_CODEC).decompress(raw.slice(16), size)
+    size, _, small = np.frombuffer(raw, np.int64, 3).tolist()
+    data, n = pa.Codec(_CODEC).decompress(raw.slice(24, small), size), size // 36
     wide = [np.frombuffer(data, t, n, 8 * n * i) for i, t in enumerate((np.uint64, np.int64, np.int64))]
-    narrow = [np.frombuffer(data, np.int32, n, 24 * n + 4 * n * i) for i in range(3)]
-    return *wide, *narrow, data.slice(36 * n)
+    return *wide, *(np.frombuffer(data, np.int32, n, 24 * n + 4 * n * i) for i in range(3))
+
+
+def _text(payload: pa.Scalar) -> bytes:
+    raw = payload.as_buffer()
+    _, size, small = np.frombuffer(raw, np.int64, 3).tolist()
+    return pa.Codec(_CODEC).decompress(raw.slice(24 + small), size, asbytes=True)
 
 
 def count_windows(strings: dict[bytes, list[tuple[int, int, int]]], k: int) -> list[tuple[int, int, int, int, int, bool]]:
@@ -212,28 +218,42 @@ def _runs(counts: list[int], flags: list[bool]) -> list[tuple[int, int, int, boo
     return out
 
 
+_RUNS = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("start", pa.int32()), ("windows", pa.int32()), ("copies", pa.int64()), ("is_first", pa.bool_())])
+
+
+def _table(rows: list[tuple]) -> pa.Table:
+    return pa.table([pa.array(c, f.type) for c, f in zip(list(zip(*rows, strict=True)) or [()] * len(_RUNS), _RUNS, strict=True)], schema=_RUNS)
+
+
 def _count(k: int):
+    """Of the payloads of a bucket the texts are unpacked one after the other, and only where some minimiser came often."""
+
     def run(table: pa.Table) -> pa.Table:
-        parts = [_unpack(p) for p in table.column("payload")]
-        values, at, times = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True, return_counts=True)
+        payloads = list(table.column("payload"))
+        parts = [_heads(p) for p in payloads]
+        _, at, times = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True, return_counts=True)
         often = (times[at] > 1) | (np.concatenate([p[4] for p in parts]) > 0)
         groups: dict[int, dict[bytes, list[tuple[int, int, int]]]] = {}
         done = 0
-        for _, keys, ids, starts, _, sizes, text in parts:
-            n = len(keys)
-            ends = np.cumsum(sizes.astype(np.int64))
-            raw, mine = text.to_pybytes(), at[done : done + n]
-            for i in np.flatnonzero(often[done : done + n]).tolist():
-                s = raw[ends[i] - sizes[i] : ends[i]]
-                groups.setdefault(int(mine[i]), {}).setdefault(s, []).append((int(ids[i]), int(keys[i]), int(starts[i])))
-            done += n
-        rows = []
+        for payload, (_, keys, ids, starts, _, sizes) in zip(payloads, parts, strict=True):
+            some = np.flatnonzero(often[done : done + len(keys)])
+            if len(some):
+                ends, raw, mine = np.cumsum(sizes.astype(np.int64)), _text(payload), at[done : done + len(keys)]
+                for i in some.tolist():
+                    s = raw[ends[i] - sizes[i] : ends[i]]
+                    groups.setdefault(int(mine[i]), {}).setdefault(s, []).append((int(ids[i]), int(keys[i]), int(starts[i])))
+            done += len(keys)
+        del parts, payloads, at, often
+        found, rows = [], []
         for g in list(groups):
             rows += count_windows(groups.pop(g), k)
-        columns = list(zip(*rows, strict=True)) or [()] * 6
-        del parts, rows
+            if len(rows) >= 1 << 14:
+                found.append(_table(rows))
+                rows = []
+        found.append(_table(rows))
+        del rows, groups
         K.release()
-        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_()), strict=True)], names=["doc_id", "key", "start", "windows", "copies", "is_first"])
+        return pa.concat_tables(found)
 
     return run
 
@@ -257,6 +277,7 @@ def repeated_windows(docs: DataFrame, k: int = WORDS, m: int = MINIMISER, bucket
     weights = base.select("text").mapInArrow(_weights(k, m, bits), "cell long, bytes long").groupBy("cell").agg(F.sum("bytes").alias("bytes"))
     heavy = checkpoint(spark, weights.where(F.col("bytes") > hot_bytes).select("cell"))
     hot = bitmap(heavy) if not heavy.isEmpty() else None
+    discard(heavy)
     schema = "doc_id long, key long, start int, windows int, copies long, is_first boolean"
     counted = base.mapInArrow(_scatter(k, m, buckets, hot, bits), "bucket int, payload binary").groupBy("bucket").applyInArrow(_count(k), schema)
     if hot is None:

@@ -1,3 +1,4 @@
+import random
 from collections import defaultdict
 
 import numpy as np
@@ -80,3 +81,22 @@ def test_super_kmers_cover_all_windows_once():
     doc, start, minimiser, _, begin, end = S.super_kmers(data, np.array([0, 20, len(data)]), 4, 2)
     covered = [(d, s + i) for d, s, b, e in zip(doc, start, begin, end, strict=True) for i in range(len(data[b:e].tobytes().split()) - 3)]
     assert sorted(covered) == [(0, i) for i in range(7)] + [(1, i) for i in range(3)]
+
+
+def test_a_bucket_unpacks_only_the_texts_that_may_repeat(monkeypatch):
+    import pyarrow as pa
+
+    r = random.Random(3)
+    alone = lambda: " ".join(f"{r.randrange(10**9)}" for _ in range(80))
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = []
+    for ids, texts in (((0, 1, 2), (alone(), alone(), passage)), ((3, 4), (alone(), alone())), ((5,), (passage,))):
+        batch = pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids), pa.array(texts)], ["key", "doc_id", "text"])
+        rows += [row for out in S._scatter(50, 4, 1, None, 0)(iter([batch])) for row in out.column("payload").to_pylist()]
+    unpacked = []
+    plain = S._text
+    monkeypatch.setattr(S, "_text", lambda p: unpacked.append(p) or plain(p))
+    found = S._count(50)(pa.table({"bucket": [0] * len(rows), "payload": pa.array(rows, pa.binary())}))
+    assert len(rows) == 3 and len(unpacked) == 2
+    assert sum(x["windows"] for x in found.to_pylist()) == 2 * 11
+    assert set(found.column("doc_id").to_pylist()) == {2, 5} and set(found.column("copies").to_pylist()) == {2}
