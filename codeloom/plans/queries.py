@@ -218,7 +218,7 @@ _SHARP = r"concat('/* BUG: ', p_partkey, ' */\npublic class X', p_partkey, ' {\n
 
 def code(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The files table of code made from part: a Python, a JavaScript and a C# file for each row."""
-    part = _table(spark, sf_dir, "part")
+    part = codetree.spread(_table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_brand"))
     texts = F.array(*[F.struct(F.concat(F.lit(f"{folder}/p"), F.col("p_partkey").cast("string"), F.lit(ext)).alias("path"), F.expr(e).alias("content")) for folder, ext, e in (("py", ".py", _PYTHON), ("js", ".js", _ECMA), ("cs", ".cs", _SHARP))])
     rows = part.select(F.explode(texts).alias("t")).select("t.*")
     return codetree.from_table(rows, F.col("path"), F.col("content"))

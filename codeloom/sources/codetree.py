@@ -21,6 +21,8 @@ from codeloom.functions import columns as C
 
 #: Bytes in a partition, and in an Arrow batch, about.
 PARTITION_BYTES, BATCH_BYTES = 32 << 20, 8 << 20
+#: Rows of a table that one task makes files of.
+TASK_ROWS = 2000
 
 
 def walk(root: str, extensions: tuple[str, ...], ignored: tuple[str, ...]) -> Iterator[tuple[str, int]]:
@@ -118,6 +120,12 @@ def read_tree(spark: SparkSession, path: str, extensions=None, ignore_dirs=None)
     return spark.read.format("codetree").options(**options).load(path)
 
 
+def spread(df: DataFrame, rows: int = TASK_ROWS) -> DataFrame:
+    """df in partitions of about so many rows. Spark cuts tables by their bytes, which say nothing of the work on texts made of a few
+    narrow columns: a million rows may be one partition, parsed by one core."""
+    return df.repartition(max(1, -(-df.count() // rows)))
+
+
 def from_table(df: DataFrame, path: Column, content: Column, language: Column | None = None) -> DataFrame:
     """The files table of any table with a path and a text."""
     text = F.regexp_replace(content, r"\r\n?", "\n")

@@ -42,3 +42,14 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert e.oracle_sql().keys() <= e.queries().keys() and set(Q.QUERIES) <= e.queries().keys()
+
+
+def test_a_small_table_of_code_is_parsed_in_many_tasks(spark, tmp_path):
+    from codeloom.sources import codetree
+
+    n = 2 * codetree.TASK_ROWS + 1
+    spark.range(n).selectExpr("id as p_partkey", "cast(id % 50 as int) as p_size", "'b' as p_brand").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    files = Q.code(spark, str(tmp_path))
+    assert files.rdd.getNumPartitions() == 3 and files.select("path").distinct().count() == 3 * n
+    spark.range(0).selectExpr("id as p_partkey", "cast(id as int) as p_size", "'b' as p_brand").write.parquet(f"{tmp_path}/none/part.parquet")
+    assert Q.code(spark, f"{tmp_path}/none").count() == 0
