@@ -93,6 +93,23 @@ def test_similar_equals_all_pairs(spark, least):
     assert {(x.a, x.b) for x in O.similar(df, min_similarity=least).collect()} == want
 
 
+@pytest.mark.parametrize("least", [0.5, 0.8, 1.0])
+def test_blocks_of_similar_sets_lose_and_repeat_nothing(spark, least, monkeypatch):
+    monkeypatch.setattr(O, "BLOCK_SETS", 7)
+    monkeypatch.setattr(O, "CELLS", 20)
+    r = random.Random(3)
+    sets = {}
+    for i in range(30):
+        base = [f"{'x' * r.randrange(9)}{r.randrange(300)}" for _ in range(r.randint(1, 120))]
+        sets[i], sets[100 + i] = set(base), set(base) | {f"y{j}" for j in range(r.randrange(20))}
+        sets[200 + i] = set(base[: -(len(base) // 6) or None])
+    df = spark.createDataFrame([(i, sorted(s)) for i, s in sets.items()], "block_id long, tokens array<string>")
+    want = sorted((a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= least)
+    found = O.similar(df, min_similarity=least)
+    assert sorted((x.a, x.b) for x in found.collect()) == want and len(want) >= 3
+    assert "Generate explode(t" not in found._jdf.queryExecution().toString()  # no row for each token
+
+
 @pytest.fixture(scope="module")
 def tree(tmp_path_factory):
     root = tmp_path_factory.mktemp("tree")
